@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from duskline import constants as c
 from duskline.functions.clock import bin_index, bucket_floor, clock_text, in_window, minute_slot
 from duskline.operators.dense import dense_counts, dense_measures
+from duskline.sources.sinks import settle
 
 
 def volume_curve_5min(
@@ -79,7 +80,8 @@ def volume_totals(curve: DataFrame, rows: int = c.CURVE_ROWS) -> DataFrame:
 
 
 def curve_ends(curve: DataFrame, rows: int = 10) -> DataFrame:
-    """The first and the last rows of a curve, in time order."""
+    """The first and the last rows of a curve, in time order; the curve is made once."""
+    curve = settle(curve)
     head = curve.orderBy("time").limit(rows)
     tail = curve.orderBy(F.col("time").desc()).limit(rows)
     return head.unionByName(tail).distinct().orderBy("time")

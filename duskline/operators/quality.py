@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from duskline import constants as c
 from duskline.functions.percentiles import linear
+from duskline.operators.forecast import with_forecast
 
 
 def xmr_limits(history: DataFrame, *, entity: str = "client_name") -> DataFrame:
@@ -48,27 +49,26 @@ def spread(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def training_error(
-    history: DataFrame, forecast: DataFrame, *, entity: str = "client_name"
-) -> DataFrame:
-    """Forecast against history, row by row."""
+def forecast_errors(rows: DataFrame) -> DataFrame:
+    """Forecast against history, for rows that hold both."""
     error = F.col("error")
     kind = (
         F.when(error > 0, "Positive Error").when(error < 0, "Negative Error").otherwise("No Error")
     )
-    return (
-        history.join(forecast, [entity, "weekday", "bin"], "left")
-        .withColumn("error", F.col("predicted") - F.col("cumsum"))
-        .withColumns(
-            {
-                "absolute_error": F.abs("error"),
-                "error_pct": F.abs(F.col("predicted_pct") - F.col("share")) * 100,
-                "error_type": kind,
-            }
-        )
+    return rows.withColumn("error", F.col("predicted") - F.col("cumsum")).withColumns(
+        {
+            "absolute_error": F.abs("error"),
+            "error_pct": F.abs(F.col("predicted_pct") - F.col("share")) * 100,
+            "error_type": kind,
+        }
     )
 
 
+def training_error(history: DataFrame, *, entity: str = "client_name") -> DataFrame:
+    """The history against the forecast made from it, row by row."""
+    return forecast_errors(with_forecast(history, entity=entity))
+
+
 def error_summary(
     errors: DataFrame, keys: Sequence[str], value: str = "absolute_error"
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,8 +27,8 @@ def read_files(
     return files.select(*columns) if columns else files
 
 
-def read_partition(df: DataFrame, value: str, column: str = "yyyymm") -> DataFrame:
-    """One monthly partition; on a partitioned table the others are not listed or read."""
+def read_partition(df: DataFrame, value: Column | str, column: str = "yyyymm") -> DataFrame:
+    """One monthly partition; the files of the others are not read."""
     return df.where(F.col(column) == value)
 
 
@@ -47,13 +47,6 @@ def number_series(spark: SparkSession, first: int, last: int, name: str) -> Data
     return spark.range(first, last + 1).select(F.col("id").cast("int").alias(name))
 
 
-def minute_axis(spark: SparkSession) -> DataFrame:
-    """The 181 full minutes from 16:00:00 to 19:00:00."""
-    slots = number_series(spark, 0, c.MINUTE_COUNT - 1, "slot")
-    sec = F.col("slot") * 60 + c.WINDOW_OPEN
-    return slots.select("slot", sec.alias("sec"), clock_text(sec).alias("time"))
-
-
 def bin_axis(spark: SparkSession) -> DataFrame:
     """The 37 five-minute bins with their label and starting time."""
     bins = number_series(spark, 1, c.BIN_COUNT, "bin")

@@ -630,6 +630,13 @@ ORACLES: dict[str, str] = {
         FORECAST,
         ERRORS,
     ),
+    "stored_forecast_error": with_(
+        "SELECT client_name, nav_date, bin, predicted, green, error FROM errors",
+        DENSE,
+        HISTORY,
+        FORECAST,
+        ERRORS,
+    ),
     "error_summary_client": with_(
         summary("client_name, weekday", "absolute_error"), DENSE, HISTORY, FORECAST, ERRORS
     ),

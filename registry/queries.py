@@ -58,6 +58,10 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({name: F.round(name, places) for name in doubles})
 
 
+def _new_folder(spark, name):
+    return f"{sinks.shared_folder(spark)}/duskline-{name}-{uuid4().hex}"
+
+
 # Normalising, cohorts, identities
 
 
@@ -274,7 +278,10 @@ def rollup_fund_dedupe(spark, sf_dir):
 
 @query
 def combine_reports(spark, sf_dir):
-    short = profiles.profile_report(profiles.ticker_profile_short(fx.sparse(spark, sf_dir)))
+    # One published profile feeds the three report sets.
+    short = sinks.settle(
+        profiles.profile_report(profiles.ticker_profile_short(fx.sparse(spark, sf_dir)))
+    )
     columns = short.columns
     early, likely = F.col("quantile01") < "18:05:00", F.col("predicted_time") < "18:05:00"
     return rollup.combine_reports(
@@ -357,8 +364,7 @@ def _history(spark, sf_dir):
 
 
 def _errors(spark, sf_dir):
-    days = _history(spark, sf_dir)
-    return quality.training_error(days, forecast.bin_forecast(days))
+    return quality.training_error(_history(spark, sf_dir))
 
 
 @query
@@ -378,8 +384,14 @@ def forecast_totals(spark, sf_dir):
 
 @query
 def limit_table(spark, sf_dir):
+    """The bin texts come from a CSV file, as they do in production."""
+    path = _new_folder(spark, "bins")
+    axis = tables.bin_axis(spark).select(
+        F.col("bin_label").alias("Bin"), F.col("time_bin").alias("Time_Bin")
+    )
+    sinks.publish_report(axis, path, "csv")
     rows = forecast.bin_forecast(_history(spark, sf_dir))
-    return forecast.limit_table(rows, tables.bin_axis(spark))
+    return forecast.limit_table(rows, tables.read_time_bins(spark, path))
 
 
 @query
@@ -423,6 +435,17 @@ def training_error(spark, sf_dir):
     )
 
 
+@query
+def stored_forecast_error(spark, sf_dir):
+    """The history against a forecast that was stored before."""
+    path = _new_folder(spark, "forecast")
+    days = _history(spark, sf_dir)
+    sinks.publish_report(forecast.bin_forecast(days), path)
+    stored = tables.read_files(spark, path)
+    rows = quality.forecast_errors(forecast.join_forecast(days, stored))
+    return rounded(rows).select("client_name", "nav_date", "bin", "predicted", "green", "error")
+
+
 @query
 def error_summary_client(spark, sf_dir):
     keys = ["client_name", "weekday"]
@@ -519,10 +542,6 @@ def ticker_report(spark, sf_dir):
 # Publishing: each writes to the shared folder and returns what is read back
 
 
-def _new_folder(spark, name):
-    return f"{sinks.shared_folder(spark)}/duskline-{name}-{uuid4().hex}"
-
-
 @query
 def partition_overwrite(spark, sf_dir):
     """Three months are published, then one of them again; the other two stay."""
@@ -546,8 +565,7 @@ def read_month(spark, sf_dir):
     rows = fx.sparse(spark, sf_dir)
     sinks.overwrite_months(sinks.with_month(cohorts.client_keys(rows), rows), path)
     stored = spark.read.schema(schemas.CLIENTS).parquet(path)
-    month = sinks.month_of_latest(rows)
-    return stored.where(F.col("yyyymm") == month)
+    return tables.read_partition(stored, sinks.month_of_latest(rows))
 
 
 @query
