@@ -91,9 +91,6 @@ def outlier_counts(
     )
 
 
-def outlier_times(
-    df: DataFrame, entity: str = "ticker", value: str = "sec", k: float = c.OUTLIER_FENCE
-) -> DataFrame:
+def outlier_times(outliers: DataFrame, value: str = "sec") -> DataFrame:
     """Outliers per arrival time."""
-    outliers = iqr_split(df, [entity], value, k).outliers
     return outliers.groupBy("nav_date", value).agg(F.count(F.lit(1)).alias("outlier_count"))

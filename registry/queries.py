@@ -183,7 +183,8 @@ def outlier_counts(spark, sf_dir):
 
 @query
 def outlier_times(spark, sf_dir):
-    return outliers.outlier_times(fx.skewed(spark, sf_dir), "ticker")
+    found = outliers.iqr_split(fx.skewed(spark, sf_dir), ["ticker"]).outliers
+    return outliers.outlier_times(found)
 
 
 @query
