@@ -91,6 +91,19 @@ def dedupe_arrivals(arrivals: DataFrame) -> DataFrame:
     )
 
 
+def arrival_counts(
+    arrivals: DataFrame, keys: Sequence[str] = ("client_name", "fund_id", "nav_date", "sec")
+) -> DataFrame:
+    """Rows per key."""
+    return arrivals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fund_counts(arrivals: DataFrame) -> DataFrame:
+    """Distinct arrivals of each fund over all dates: counted per date, then added up."""
+    daily = arrival_counts(dedupe_arrivals(arrivals), ["fund_id", "nav_date"])
+    return daily.groupBy("fund_id").agg(F.sum("n").alias("n"))
+
+
 def client_keys(arrivals: DataFrame) -> DataFrame:
     """Number the distinct client names 1, 2, 3, … in name order.
 

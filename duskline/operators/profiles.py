@@ -203,6 +203,22 @@ def weekday_profile(
     )
 
 
+def time_summary(arrivals: DataFrame, *, entity: str = "fund_id") -> DataFrame:
+    """Rows, median time and sample standard deviation of the time per entity, as text."""
+    centre = histogram(arrivals, [entity]).groupBy(entity).agg(
+        F.sum("n").alias("n"), whole_seconds(linear("sec", [50], F.col("n"))[0]).alias("_median")
+    )
+    spread = arrivals.groupBy(entity).agg(
+        whole_seconds(F.stddev_samp("sec")).alias("_deviation")
+    )
+    return centre.join(spread, entity).select(
+        entity,
+        "n",
+        clock_text("_median").alias("median_time"),
+        clock_text("_deviation").alias("standard_deviation"),
+    )
+
+
 def modal_arrival_minute(arrivals: DataFrame, *, entity: str = "fund_id") -> DataFrame:
     """The most frequent minute of the day per entity, the lowest on a tie, 0 without rows."""
     minutes = arrivals.withColumn("minute", F.floor(F.col("sec") / 60).cast("int"))

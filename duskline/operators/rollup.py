@@ -44,13 +44,14 @@ def rollup_latest(
     return rows.withColumnsRenamed(dict(rename or {}))
 
 
-def tickers_to_funds(profile: DataFrame) -> DataFrame:
-    """Fund profiles from ticker profiles."""
+def tickers_to_funds(profile: DataFrame, *, latest: str = "quantile99") -> DataFrame:
+    """Fund profiles from ticker profiles; ``latest`` becomes the latest time of the fund
+    (``max_time`` for short histories, which have no 99% point)."""
     return rollup_latest(
         profile,
         entity="fund_id",
         drop=["ticker"],
-        rename={"quantile01": "fund_min_time", "quantile99": "fund_max_time"},
+        rename={"quantile01": "fund_min_time", latest: "fund_max_time"},
     )
 
 

@@ -49,7 +49,7 @@ def learn_tickers(
     publish("fund_bins", volume_curve_5min(funds, fund_times))
 
     short = publish("tickers_short", ticker_profile_short(arrivals))
-    short_funds = publish("funds_short", tickers_to_funds(short))
+    short_funds = publish("funds_short", tickers_to_funds(short, latest="max_time"))
     publish("clients_short", funds_to_clients(short_funds))
     publish("ticker_bins_short", volume_curve_5min(short, SHORT_TIMES))
 

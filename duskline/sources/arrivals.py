@@ -27,16 +27,13 @@ def parse_date(text: Column | str, pattern: str = DATE_PATTERN) -> Column:
 
 
 def parse_timestamp(text: Column | str, pattern: str = TIMESTAMP_PATTERN) -> Column:
+    """Clock time as written. It passes through the session time zone, so an hour that a
+    change to summer time skips there is moved; a session in UTC has no such hour."""
     return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
 
 
-def _parsed(raw: DataFrame, time_column: str) -> DataFrame:
-    return raw.withColumns(
-        {
-            "_date": parse_date("nav_date"),
-            "_ts": parse_timestamp(time_column),
-        }
-    )
+def _bound(value: dt.date | str | None) -> Column | None:
+    return None if value is None else F.lit(dt.date.fromisoformat(str(value)))
 
 
 def normalize_arrivals(
@@ -47,18 +44,28 @@ def normalize_arrivals(
     last: dt.date | str | None = None,
 ) -> DataFrame:
     """Complete rows with real dates between ``first`` and ``last``, both included."""
-    rows = _parsed(raw.na.drop("any"), time_column).where(
-        F.col("_date").isNotNull() & F.col("_ts").isNotNull()
+    lowest, highest = _bound(first), _bound(last)
+
+    def valid(row: Column) -> Column:
+        kept = row["nav_date"].isNotNull() & row["arrival_ts"].isNotNull()
+        if lowest is not None:
+            kept = kept & (row["nav_date"] >= lowest)
+        if highest is not None:
+            kept = kept & (row["nav_date"] <= highest)
+        return kept
+
+    # Parsing costs most here. A filter on parsed columns would be pushed below them and
+    # parse the text again for every condition; an array of one row is parsed once.
+    parsed = F.struct(
+        parse_date("nav_date").alias("nav_date"), parse_timestamp(time_column).alias("arrival_ts")
     )
-    rows = date_range(rows, first, last, "_date")
-    extra = [F.col("ticker")] if "ticker" in raw.columns else []
-    return rows.select(
-        "client_name",
-        F.translate("fund_id", " ", "").alias("fund_id"),
-        *extra,
-        F.col("_date").alias("nav_date"),
-        F.col("_ts").alias("arrival_ts"),
-        seconds_of_day("_ts").alias("sec"),
+    held = ["client_name", F.translate("fund_id", " ", "").alias("fund_id")]
+    if "ticker" in raw.columns:
+        held.append("ticker")
+    return (
+        raw.na.drop("any")
+        .select(*held, F.inline(F.filter(F.array(parsed), valid)))
+        .withColumn("sec", seconds_of_day("arrival_ts"))
     )
 
 
@@ -69,7 +76,10 @@ def normalization_audit(raw: DataFrame, *, time_column: str = "datetime") -> Dat
         complete = complete & F.col(name).isNotNull()
     bad_date = F.col("_date").isNull()
     bad_time = F.col("_ts").isNull()
-    return _parsed(raw, time_column).agg(
+    parsed = raw.withColumns(
+        {"_date": parse_date("nav_date"), "_ts": parse_timestamp(time_column)}
+    )
+    return parsed.agg(
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(~complete).alias("rows_incomplete"),
         F.count_if(complete & bad_date).alias("rows_bad_date"),
@@ -85,10 +95,11 @@ def date_range(
     column: str = "nav_date",
 ) -> DataFrame:
     """Inclusive date filter; a bound that is no date raises."""
-    if first is not None:
-        df = df.where(F.col(column) >= F.lit(dt.date.fromisoformat(str(first))))
-    if last is not None:
-        df = df.where(F.col(column) <= F.lit(dt.date.fromisoformat(str(last))))
+    lowest, highest = _bound(first), _bound(last)
+    if lowest is not None:
+        df = df.where(F.col(column) >= lowest)
+    if highest is not None:
+        df = df.where(F.col(column) <= highest)
     return df
 
 

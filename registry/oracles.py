@@ -185,6 +185,13 @@ FUNDS = """funds AS (
         SELECT *, rank() OVER (PARTITION BY fund_id ORDER BY predicted_time DESC) AS place
         FROM tickers) WHERE place = 1)"""
 
+SHORT_FUND_COLUMNS = (
+    f"client_name, {clock('quantile01')} AS {{level}}_min_time, "
+    f"{clock('predicted_time')} AS predicted_time, total_days, miss_days, "
+    f"{clock('max_time_before_cutoff')} AS max_time_before_cutoff, "
+    f"{clock('max_time')} AS {{level}}_max_time"
+)
+
 HISTORY = f"""kept AS (
     SELECT client_name, nav_date, (sec - 57600) // 300 + 1 AS bin FROM dense
     WHERE isodow(nav_date) <= 5 AND sec BETWEEN 57600 AND 68400),
@@ -256,12 +263,12 @@ RESIDUALS = [
 
 
 def mae(condition: str = "true") -> str:
-    return f"round((avg(abs(diff_sec)) FILTER (WHERE {condition})) / 86400, 6)"
+    return f"round((avg(abs(diff_sec)) FILTER (WHERE {condition})) / 86400, 9)"
 
 
-SIGNED = f"""round((avg(diff_sec) FILTER (WHERE diff_sec < 0)) / 86400, 6) AS negative_mean,
+SIGNED = f"""round((avg(diff_sec) FILTER (WHERE diff_sec < 0)) / 86400, 9) AS negative_mean,
     count(*) FILTER (WHERE diff_sec < 0) AS negative_count,
-    round((avg(diff_sec) FILTER (WHERE diff_sec >= 0)) / 86400, 6) AS positive_mean,
+    round((avg(diff_sec) FILTER (WHERE diff_sec >= 0)) / 86400, 9) AS positive_mean,
     count(*) FILTER (WHERE diff_sec >= 0) AS positive_count, {mae()} AS mae"""
 
 
@@ -361,7 +368,7 @@ ORACLES: dict[str, str] = {
     ),
     "time_parts": with_(
         f"""SELECT ticker, nav_date AS arrival_date, {clock("sec")} AS arrival_time,
-    round(sec / 86400.0::DOUBLE, 6) AS event_time_numeric, sec AS seconds,
+    round(sec / 86400.0::DOUBLE, 9) AS event_time_numeric, sec AS seconds,
     CAST(isodow(nav_date) - 1 AS INTEGER) AS weekday FROM dense""",
         DENSE,
     ),
@@ -384,6 +391,12 @@ ORACLES: dict[str, str] = {
     ),
     "entity_map": with_("SELECT DISTINCT client_name, fund_id, ticker FROM sparse", SPARSE),
     "dedupe_arrivals": with_("SELECT * FROM uniq", SKEWED, unique("skewed")),
+    "arrival_counts": with_(
+        "SELECT client_name, fund_id, nav_date, sec, count(*) AS n FROM skewed GROUP BY ALL", SKEWED
+    ),
+    "fund_counts": with_(
+        "SELECT fund_id, count(DISTINCT (nav_date, sec)) AS n FROM skewed GROUP BY fund_id", SKEWED
+    ),
     "client_keys": with_(
         """SELECT CAST(row_number() OVER (ORDER BY client_name) AS INTEGER) AS client_identifier,
     client_name FROM (SELECT DISTINCT client_name FROM sparse)""",
@@ -467,6 +480,11 @@ ORACLES: dict[str, str] = {
     "weekday_profile_quantile": with_(
         f"SELECT fund_id, {weekday_times(QUANTILE_POINT)} FROM dense GROUP BY fund_id", DENSE
     ),
+    "time_summary": with_(
+        f"""SELECT ticker, count(*) AS n, {clock(whole("median(sec)"))} AS median_time,
+    {clock(whole("stddev_samp(sec)"))} AS standard_deviation FROM dense GROUP BY ticker""",
+        DENSE,
+    ),
     "modal_minute": with_(
         f"""SELECT fund_id, minute AS modal_minute, {clock("(minute * 60)")} AS modal_time FROM (
     SELECT fund_id, CAST(sec // 60 AS INTEGER) AS minute,
@@ -507,6 +525,18 @@ ORACLES: dict[str, str] = {
         *ticker_profile("skewed"),
         FUNDS,
     ),
+    "rollup_ticker_fund_short": with_(
+        f"SELECT {SHORT_FUND_COLUMNS.format(level='fund')}, fund_id FROM funds",
+        *SHORT_TICKERS,
+        FUNDS.replace("FROM tickers", "FROM short_tickers"),
+    ),
+    "rollup_fund_client_short": with_(
+        f"""SELECT {SHORT_FUND_COLUMNS.format(level='client')} FROM (SELECT * EXCLUDE (place),
+        rank() OVER (PARTITION BY client_name ORDER BY predicted_time DESC) AS top FROM funds)
+    WHERE top = 1""",
+        *SHORT_TICKERS,
+        FUNDS.replace("FROM tickers", "FROM short_tickers"),
+    ),
     "rollup_time_dedupe": with_(
         f"""SELECT DISTINCT {shown(["client_name", *SHORT_COLUMNS[2:4], *SHORT_COLUMNS[6:]], TIMES)}
     FROM (SELECT *, row_number() OVER (PARTITION BY predicted_time ORDER BY fund_id, client_name)
@@ -691,7 +721,7 @@ ORACLES: dict[str, str] = {
     ),
     # Validation
     "prediction_residuals": with_(
-        "SELECT * REPLACE (round(diff_day, 6) AS diff_day) FROM once", *RESIDUALS
+        "SELECT * REPLACE (round(diff_day, 9) AS diff_day) FROM once", *RESIDUALS
     ),
     "mae_overall": with_(
         f"""SELECT {mae()} AS mae, {mae("outlier = 'NotOutlier'")} AS mae_inliers FROM residuals""",

@@ -88,7 +88,7 @@ def time_parts(spark, sf_dir):
         "ticker",
         "arrival_date",
         "arrival_time",
-        F.round(day_fraction("sec"), 6).alias("event_time_numeric"),
+        F.round(day_fraction("sec"), 9).alias("event_time_numeric"),
         seconds_from_text(F.concat("arrival_time", F.lit(".250"))).alias("seconds"),
         F.weekday("arrival_date").alias("weekday"),
     )
@@ -131,6 +131,16 @@ def dedupe_arrivals(spark, sf_dir):
     return cohorts.dedupe_arrivals(fx.skewed(spark, sf_dir))
 
 
+@query
+def arrival_counts(spark, sf_dir):
+    return cohorts.arrival_counts(fx.skewed(spark, sf_dir))
+
+
+@query
+def fund_counts(spark, sf_dir):
+    return cohorts.fund_counts(fx.skewed(spark, sf_dir))
+
+
 @query
 def client_keys(spark, sf_dir):
     return cohorts.client_keys(fx.sparse(spark, sf_dir))
@@ -232,6 +242,11 @@ def weekday_profile_quantile(spark, sf_dir):
     return profiles.weekday_profile(fx.dense(spark, sf_dir), rank=95)
 
 
+@query
+def time_summary(spark, sf_dir):
+    return profiles.time_summary(fx.dense(spark, sf_dir), entity="ticker")
+
+
 @query
 def modal_minute(spark, sf_dir):
     return profiles.modal_arrival_minute(fx.dense(spark, sf_dir))
@@ -257,6 +272,25 @@ def rollup_fund_client(spark, sf_dir):
     )
 
 
+@query
+def rollup_ticker_fund_short(spark, sf_dir):
+    short = profiles.ticker_profile_short(fx.sparse(spark, sf_dir))
+    return profiles.profile_report(
+        rollup.tickers_to_funds(short, latest="max_time"),
+        [*profiles.TIME_COLUMNS, "fund_min_time", "fund_max_time"],
+    )
+
+
+@query
+def rollup_fund_client_short(spark, sf_dir):
+    short = profiles.ticker_profile_short(fx.sparse(spark, sf_dir))
+    funds = rollup.tickers_to_funds(short, latest="max_time")
+    return profiles.profile_report(
+        rollup.funds_to_clients(funds),
+        [*profiles.TIME_COLUMNS, "client_min_time", "client_max_time"],
+    )
+
+
 @query
 def rollup_time_dedupe(spark, sf_dir):
     profile = profiles.arrival_profile_short(fx.sparse(spark, sf_dir))
@@ -493,6 +527,9 @@ def alert_pivot(spark, sf_dir):
 # Validation
 
 
+# Nine places: a time over 86,400 with an end has at most seven, so none is cut at a half.
+
+
 def _residuals(spark, sf_dir):
     rows = fx.skewed(spark, sf_dir)
     found = outliers.iqr_split(rows, ["ticker"]).outliers
@@ -501,43 +538,43 @@ def _residuals(spark, sf_dir):
 
 @query
 def prediction_residuals(spark, sf_dir):
-    return rounded(_residuals(spark, sf_dir)).distinct()
+    return rounded(_residuals(spark, sf_dir), 9).distinct()
 
 
 @query
 def mae_overall(spark, sf_dir):
-    return rounded(residuals.mae_overall(_residuals(spark, sf_dir)))
+    return rounded(residuals.mae_overall(_residuals(spark, sf_dir)), 9)
 
 
 @query
 def mae_ticker(spark, sf_dir):
-    return rounded(residuals.mae_by(_residuals(spark, sf_dir), "ticker"))
+    return rounded(residuals.mae_by(_residuals(spark, sf_dir), "ticker"), 9)
 
 
 @query
 def mae_fund(spark, sf_dir):
-    return rounded(residuals.mae_by(_residuals(spark, sf_dir), "fund_id"))
+    return rounded(residuals.mae_by(_residuals(spark, sf_dir), "fund_id"), 9)
 
 
 @query
 def mae_client(spark, sf_dir):
-    return rounded(residuals.mae_by(_residuals(spark, sf_dir), "client_name"))
+    return rounded(residuals.mae_by(_residuals(spark, sf_dir), "client_name"), 9)
 
 
 @query
 def signed_errors_ticker(spark, sf_dir):
-    return rounded(residuals.signed_errors(_residuals(spark, sf_dir), "ticker"))
+    return rounded(residuals.signed_errors(_residuals(spark, sf_dir), "ticker"), 9)
 
 
 @query
 def signed_errors_fund(spark, sf_dir):
     known = cohorts.entity_map(fx.skewed(spark, sf_dir))
-    return rounded(residuals.client_fund_errors(_residuals(spark, sf_dir), known))
+    return rounded(residuals.client_fund_errors(_residuals(spark, sf_dir), known), 9)
 
 
 @query
 def ticker_report(spark, sf_dir):
-    return rounded(residuals.ticker_report(_residuals(spark, sf_dir)))
+    return rounded(residuals.ticker_report(_residuals(spark, sf_dir)), 9)
 
 
 # Publishing: each writes to the shared folder and returns what is read back
