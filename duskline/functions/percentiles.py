@@ -1,9 +1,10 @@
-"""Exact percentiles over arrival histograms.
+"""Exact percentiles.
 
-A histogram holds one row per entity and second with the number of arrivals. Building it
-is an ordinary count, combined on the map side and spread over (entity, second), so an
-entity that holds a third of all rows is still split over many tasks. Whatever follows
-sees at most 86,400 rows per entity, however long the history is.
+``percentile`` as an aggregate combines on the map side: a task sends at most one entry per
+second of the day for an entity, so an entity with very many arrivals is no burden. Windows
+have no such step. What uses them takes weighted rows, which stand for ``n`` arrivals each;
+where an entity has very many arrivals they are counted per second before they get here (see
+``duskline.operators.skew``).
 """
 
 from __future__ import annotations
@@ -16,15 +17,6 @@ from pyspark.sql import functions as F
 from duskline.functions.clock import whole_seconds
 
 
-def histogram(df: DataFrame, keys: Sequence[str], value: str = "sec") -> DataFrame:
-    """Rows per key and value, as column ``n``; rows without a value are left out."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def linear(value: Column | str, ranks: Sequence[float], weight: Column | None = None) -> Column:
     """Percentiles by linear interpolation, all ranks (percent) in one pass."""
     fractions = [rank / 100 for rank in ranks]
@@ -32,12 +24,15 @@ def linear(value: Column | str, ranks: Sequence[float], weight: Column | None =
 
 
 def linear_profile(
-    hist: DataFrame, keys: Sequence[str], ranks: Mapping[str, float], value: str = "sec"
+    rows: DataFrame,
+    keys: Sequence[str],
+    ranks: Mapping[str, float],
+    value: str = "sec",
+    *,
+    weight: Column | None = None,
 ) -> DataFrame:
     """One row per key with a truncated whole-second column for each rank."""
-    points = hist.groupBy(*keys).agg(
-        linear(value, list(ranks.values()), F.col("n")).alias("_points")
-    )
+    points = rows.groupBy(*keys).agg(linear(value, list(ranks.values()), weight).alias("_points"))
     return points.select(
         *keys,
         *[whole_seconds(F.col("_points")[i]).alias(name) for i, name in enumerate(ranks)],
@@ -45,7 +40,7 @@ def linear_profile(
 
 
 def nearest_profile(
-    hist: DataFrame,
+    rows: DataFrame,
     keys: Sequence[str],
     ranks: Mapping[str, float],
     value: str = "sec",
@@ -53,12 +48,12 @@ def nearest_profile(
 ) -> DataFrame:
     """Nearest-rank percentiles: position ``q * (n - 1)`` rounded half to even.
 
-    The running count over the histogram tells which value holds a position, so no entity's
-    rows are ever sorted; ``others`` are further aggregates over the same groups.
+    The running count tells which value holds a position; ``others`` are further aggregates
+    over the same groups.
     """
     whole = Window.partitionBy(*keys)
     running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = hist.withColumn("_seen", F.sum("n").over(running)).withColumn(
+    ranked = rows.withColumn("_seen", F.sum("n").over(running)).withColumn(
         "_all", F.sum("n").over(whole)
     )
     picks = [
@@ -77,13 +72,13 @@ def fence_columns(points: Column, k: float) -> tuple[Column, Column]:
 
 
 def within_fences(
-    hist: DataFrame, keys: Sequence[str], k: float, value: str = "sec"
+    rows: DataFrame, keys: Sequence[str], k: float, value: str = "sec"
 ) -> DataFrame:
-    """Histogram rows strictly inside the interquartile fences of their entity."""
+    """Rows strictly inside the interquartile fences of their entity."""
     points = linear(value, [25, 75], F.col("n")).over(Window.partitionBy(*keys))
     low, high = fence_columns(F.col("_points"), k)
     return (
-        hist.withColumn("_points", points)
+        rows.withColumn("_points", points)
         .where((F.col(value) > low) & (F.col(value) < high))
         .drop("_points")
     )

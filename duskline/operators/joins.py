@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from duskline.operators.skew import hot_keys
 from duskline.sources.sinks import settle
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 1 / 256
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -46,9 +46,8 @@ def lookup_join(
     """Join a large table to a table with one row per key (inner, left, semi or anti).
 
     The lookup side is settled and measured first. When it fits, it is broadcast and the
-    large side is not shuffled at all. When it does not fit, the keys holding more than
-    1/256 of the facts, at most 255 of them, are joined by broadcast, and only the other
-    keys, none of which can fill a task, are joined by shuffle.
+    large side is not shuffled at all. When it does not fit, the rows of hot keys, which are
+    few, are joined by broadcast, and only the other keys are joined by shuffle.
     """
     lookup = settle(lookup)
     columns = list(facts.columns)
@@ -56,8 +55,11 @@ def lookup_join(
         columns += [name for name in lookup.columns if name not in keys]
     if fits_broadcast(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), list(keys), how).select(*columns)
-    hot = F.broadcast(hot_keys(facts, keys))
     keys = list(keys)
+    hot = hot_keys(facts, keys)
+    if hot is None:
+        return facts.join(lookup, keys, how).select(*columns)
+    hot = F.broadcast(hot)
     hot_side = facts.join(hot, keys, "left_semi").join(
         F.broadcast(lookup.join(hot, keys, "left_semi")), keys, how
     )
@@ -65,15 +67,3 @@ def lookup_join(
         lookup.join(hot, keys, "left_anti"), keys, how
     )
     return hot_side.select(*columns).unionByName(cold_side.select(*columns))
-
-
-def hot_keys(facts: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of all rows; there are fewer than ``1 / share``.
-
-    One count with map-side combine reads the facts; it is settled, and so is the result,
-    which the join uses four times.
-    """
-    counts = settle(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
-    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
-    hot = counts.where(F.col("_rows") > total * F.lit(share)).select(*keys)
-    return settle(hot.na.drop("any"))

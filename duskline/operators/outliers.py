@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskline import constants as c
-from duskline.functions.percentiles import fence_columns, histogram, linear
+from duskline.functions.percentiles import fence_columns, linear
 from duskline.operators.joins import lookup_join
+from duskline.operators.skew import count_rows, has_hot, weighted_rows
 
 
 class Split(NamedTuple):
@@ -23,9 +24,7 @@ def fences(
     df: DataFrame, keys: Sequence[str], value: str = "sec", k: float = c.OUTLIER_FENCE
 ) -> DataFrame:
     """Lower and upper fence per key, from the exact 25% and 75% points."""
-    points = histogram(df, keys, value).groupBy(*keys).agg(
-        linear(value, [25, 75], F.col("n")).alias("_points")
-    )
+    points = df.groupBy(*keys).agg(linear(value, [25, 75]).alias("_points"))
     low, high = fence_columns(F.col("_points"), k)
     return points.select(*keys, low.alias("fence_low"), high.alias("fence_high"))
 
@@ -63,12 +62,12 @@ def iqr_split(
 def zone_counts(
     df: DataFrame, keys: Sequence[str], value: str = "sec", k: float = c.OUTLIER_FENCE
 ) -> DataFrame:
-    """Rows per key in each zone, from the histogram alone: the rows are not joined."""
-    hist = histogram(df, keys, value)
+    """Rows per key in each zone; fences and counts come from one shuffle, without a join."""
     points = linear(value, [25, 75], F.col("n")).over(Window.partitionBy(*keys))
     low, high = fence_columns(F.col("_points"), k)
     labelled = (
-        hist.withColumn("_points", points)
+        weighted_rows(df, keys, [value], hot=has_hot(count_rows(df, keys)))
+        .withColumn("_points", points)
         .withColumns({"fence_low": low, "fence_high": high})
         .withColumn("zone", zone(value))
     )

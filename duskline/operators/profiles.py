@@ -13,47 +13,52 @@ from pyspark.sql import functions as F
 from duskline import constants as c
 from duskline.functions.clock import after_cutoff, before_cutoff, clock_text, whole_seconds
 from duskline.functions.percentiles import (
-    histogram,
-    linear_profile,
     linear,
+    linear_profile,
     nearest_profile,
     within_fences,
 )
 from duskline.operators.cohorts import dedupe_arrivals
+from duskline.operators.skew import count_rows, has_hot, weighted_rows
+from duskline.sources.sinks import settle
 
 PAIR = ["client_name", "fund_id"]
 
 
-def sla_stats(
-    arrivals: DataFrame, *, entity: str = "fund_id", cutoff: int = c.CUTOFF
-) -> DataFrame:
-    """Days, days with an arrival after the cut-off, latest arrival before it, latest arrival.
+STATS = ["total_days", "miss_days", "max_time_before_cutoff", "max_time"]
 
-    The first step reduces to one row per entity and date and combines on the map side; the
-    second then counts rows, with no distinct count and no joins.
-    """
-    daily = arrivals.groupBy(entity, "nav_date").agg(
+
+def _history_stats(arrivals: DataFrame, keys: Sequence[str], cutoff: int) -> DataFrame:
+    """The first step reduces to one row per key and date and combines on the map side; the
+    second then counts rows, with no distinct count and no joins."""
+    daily = arrivals.groupBy(*keys, "nav_date").agg(
+        F.count(F.lit(1)).alias("n_rows"),
         F.max("sec").alias("latest"),
         F.max(F.when(before_cutoff("sec", cutoff), F.col("sec"))).alias("latest_before"),
     )
-    return daily.groupBy(entity).agg(
+    return daily.groupBy(*keys).agg(
         F.count("nav_date").alias("total_days"),
         F.count_if(after_cutoff("latest", cutoff)).alias("miss_days"),
         F.max("latest_before").alias("max_time_before_cutoff"),
         F.max("latest").alias("max_time"),
+        F.sum("n_rows").alias("n_rows"),
     )
 
 
+def sla_stats(
+    arrivals: DataFrame, *, entity: str = "fund_id", cutoff: int = c.CUTOFF
+) -> DataFrame:
+    """Days, days with an arrival after the cut-off, latest arrival before it, latest arrival."""
+    return _history_stats(arrivals, [entity], cutoff).select(entity, *STATS)
+
+
 def arrival_profile_short(
     arrivals: DataFrame, *, max_short: int = c.SHORT_HISTORY_DAYS, cutoff: int = c.CUTOFF
 ) -> DataFrame:
     """Funds with a short history: 1% and 50% points and cut-off statistics."""
     stats = sla_stats(arrivals, cutoff=cutoff).where(F.col("total_days") <= max_short)
-    hist = histogram(dedupe_arrivals(arrivals), PAIR)
-    points = linear_profile(hist, PAIR, c.SHORT_RANKS)
-    return points.join(stats, "fund_id").select(
-        *PAIR, *c.SHORT_RANKS, "total_days", "miss_days", "max_time_before_cutoff", "max_time"
-    )
+    points = linear_profile(dedupe_arrivals(arrivals), PAIR, c.SHORT_RANKS)
+    return points.join(stats, "fund_id").select(*PAIR, *c.SHORT_RANKS, *STATS)
 
 
 def arrival_profile_long(
@@ -64,17 +69,18 @@ def arrival_profile_long(
     k: float = c.OUTLIER_FENCE,
 ) -> DataFrame:
     """Funds with a long history: eleven quantiles without outliers, cut-off statistics and
-    the alert time, five minutes ahead of the latest arrival before the cut-off."""
-    stats = sla_stats(arrivals, cutoff=cutoff).where(F.col("total_days") > max_short)
-    hist = histogram(dedupe_arrivals(arrivals), PAIR)
-    points = linear_profile(within_fences(hist, PAIR, k), PAIR, c.LONG_RANKS)
+    the alert time, five minutes ahead of the latest arrival before the cut-off.
+
+    The statistics are settled: they also tell whether a fund is hot.
+    """
+    long = F.col("total_days") > max_short
+    stats = settle(_history_stats(arrivals, ["fund_id"], cutoff).where(long))
+    rows = weighted_rows(dedupe_arrivals(arrivals), PAIR, hot=has_hot(stats))
+    points = linear_profile(within_fences(rows, PAIR, k), PAIR, c.LONG_RANKS, weight=F.col("n"))
     return points.join(stats, "fund_id").select(
         *PAIR,
         *c.LONG_RANKS,
-        "total_days",
-        "miss_days",
-        "max_time_before_cutoff",
-        "max_time",
+        *STATS,
         (F.col("max_time_before_cutoff") - c.CUTOFF_ALERT_LEAD).alias("alert_time"),
     )
 
@@ -84,21 +90,20 @@ def ticker_profile(
     entities: DataFrame,
     *,
     max_short: int = c.SHORT_HISTORY_DAYS,
+    cutoff: int = c.CUTOFF,
     k: float = c.OUTLIER_FENCE,
 ) -> DataFrame:
     """Tickers with a long history: nearest-rank quantiles and the median without outliers,
     the alert time two minutes ahead of the 99% point, and the clients and funds served."""
     ranks = {name: rank for name, rank in c.LONG_RANKS.items() if name != "predicted_time"}
     median = whole_seconds(linear("sec", [50], F.col("n"))[0]).alias("predicted_time")
-    inliers = within_fences(histogram(arrivals, ["ticker"]), ["ticker"], k)
+    long = F.col("total_days") > max_short
+    stats = settle(_history_stats(arrivals, ["ticker"], cutoff).where(long))
+    rows = weighted_rows(arrivals, ["ticker"], hot=has_hot(stats))
+    inliers = within_fences(rows, ["ticker"], k)
     points = nearest_profile(inliers, ["ticker"], ranks, "sec", median)
-    long = (
-        sla_stats(arrivals, entity="ticker")
-        .where(F.col("total_days") > max_short)
-        .select("ticker", "total_days", "miss_days", "max_time")
-    )
     return (
-        points.join(long, "ticker")
+        points.join(stats.drop("max_time_before_cutoff"), "ticker")
         .join(entities, "ticker")
         .select(
             "client_name",
@@ -121,29 +126,9 @@ def ticker_profile_short(
 ) -> DataFrame:
     """Tickers with a short history, per client and fund: 1% and 50% points and statistics."""
     keys = ["client_name", "fund_id", "ticker"]
-    daily = arrivals.groupBy(*keys, "nav_date").agg(
-        F.max("sec").alias("latest"),
-        F.max(F.when(before_cutoff("sec", cutoff), F.col("sec"))).alias("latest_before"),
-    )
-    stats = (
-        daily.groupBy(*keys)
-        .agg(
-            F.count("nav_date").alias("total_days"),
-            F.count_if(after_cutoff("latest", cutoff)).alias("miss_days"),
-            F.max("latest_before").alias("max_time_before_cutoff"),
-            F.max("latest").alias("max_time"),
-        )
-        .where(F.col("total_days") <= max_short)
-    )
-    points = linear_profile(histogram(arrivals, keys), keys, c.SHORT_RANKS)
-    return points.join(stats, keys).select(
-        *keys,
-        *c.SHORT_RANKS,
-        "total_days",
-        "miss_days",
-        "max_time_before_cutoff",
-        "max_time",
-    )
+    stats = _history_stats(arrivals, keys, cutoff).where(F.col("total_days") <= max_short)
+    points = linear_profile(arrivals, keys, c.SHORT_RANKS)
+    return points.join(stats, keys).select(*keys, *c.SHORT_RANKS, *STATS)
 
 
 TIME_COLUMNS = [*c.LONG_RANKS, "max_time_before_cutoff", "max_time", "alert_time"]
@@ -161,9 +146,7 @@ def linear_quantiles(
     arrivals: DataFrame, keys: Sequence[str], ranks: Sequence[float], value: str = "sec"
 ) -> DataFrame:
     """Exact interpolated percentiles (ranks in percent), one column per rank."""
-    points = histogram(arrivals, keys, value).groupBy(*keys).agg(
-        linear(value, list(ranks), F.col("n")).alias("_points")
-    )
+    points = arrivals.groupBy(*keys).agg(linear(value, list(ranks)).alias("_points"))
     return points.select(
         *keys, *[F.col("_points")[i].alias(f"p{rank:02d}") for i, rank in enumerate(ranks)]
     )
@@ -174,7 +157,8 @@ def nearest_quantiles(
 ) -> DataFrame:
     """Nearest-rank percentiles (ranks in percent), one column per rank."""
     names = {f"p{rank:02d}": rank for rank in ranks}
-    return nearest_profile(histogram(arrivals, keys, value), keys, names, value)
+    rows = weighted_rows(arrivals, keys, [value], hot=has_hot(count_rows(arrivals, keys)))
+    return nearest_profile(rows, keys, names, value)
 
 
 def weekday_profile(
@@ -184,13 +168,11 @@ def weekday_profile(
 
     The median, or the given rank rounded to the second; 00:00:00 for a day without rows.
     """
-    keys = [entity, "weekday"]
-    hist = histogram(arrivals.withColumn("weekday", F.weekday("nav_date")), keys)
     names = ["all_days", "monday", "tuesday", "wednesday", "thursday", "friday"]
 
     def time_on(day: int | None) -> Column:
-        value = F.col("sec") if day is None else F.when(F.col("weekday") == day, F.col("sec"))
-        point = linear(value, [50 if rank is None else rank], F.col("n"))[0]
+        value = F.col("sec") if day is None else F.when(F.weekday("nav_date") == day, F.col("sec"))
+        point = linear(value, [50 if rank is None else rank])[0]
         if rank is not None:
             point = F.rint(F.round(point, 6)).cast("int")
         else:
@@ -198,24 +180,17 @@ def weekday_profile(
         return clock_text(F.coalesce(point, F.lit(0)))
 
     days = [None, 0, 1, 2, 3, 4]
-    return hist.groupBy(entity).agg(
+    return arrivals.groupBy(entity).agg(
         *[time_on(day).alias(name) for day, name in zip(days, names, strict=True)]
     )
 
 
 def time_summary(arrivals: DataFrame, *, entity: str = "fund_id") -> DataFrame:
     """Rows, median time and sample standard deviation of the time per entity, as text."""
-    centre = histogram(arrivals, [entity]).groupBy(entity).agg(
-        F.sum("n").alias("n"), whole_seconds(linear("sec", [50], F.col("n"))[0]).alias("_median")
-    )
-    spread = arrivals.groupBy(entity).agg(
-        whole_seconds(F.stddev_samp("sec")).alias("_deviation")
-    )
-    return centre.join(spread, entity).select(
-        entity,
-        "n",
-        clock_text("_median").alias("median_time"),
-        clock_text("_deviation").alias("standard_deviation"),
+    return arrivals.groupBy(entity).agg(
+        F.count("sec").alias("n"),
+        clock_text(whole_seconds(F.median("sec"))).alias("median_time"),
+        clock_text(whole_seconds(F.stddev_samp("sec"))).alias("standard_deviation"),
     )
 
 
