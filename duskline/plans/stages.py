@@ -4,28 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from duskline.sources.sinks import overwrite_months, settle
-from duskline.sources.tables import read_partition
+from duskline.sources.sinks import overwrite_month
 
 
 class Stages:
     """Publishes the tables of one run under one folder that all executors share.
 
     A later step reads what an earlier one wrote, so it costs a scan of a small table and
-    survives lost executors. All tables of a run carry the month of its latest arrival.
+    survives lost executors. All tables of a run carry the month of its latest arrival, and
+    a second run for that month replaces them, empty tables included.
     """
 
     def __init__(self, folder: str, arrivals: DataFrame):
+        latest = arrivals.agg(F.date_format(F.max("nav_date"), "yyyyMM").alias("yyyymm"))
         self.folder = folder
-        latest = F.date_format(F.max("nav_date"), "yyyyMM").alias("yyyymm")
-        self.month = settle(arrivals.agg(latest))
+        self.month = latest.first()["yyyymm"]
+        if self.month is None:
+            raise ValueError("there are no arrivals to learn from")
 
     def publish(self, name: str, df: DataFrame) -> DataFrame:
         """Replace this month of the table and return it as it was written."""
-        path = f"{self.folder}/{name}"
-        overwrite_months(df.withColumn("yyyymm", self.month.scalar()), path)
-        schema = StructType([*df.schema.fields, StructField("yyyymm", StringType())])
-        written = df.sparkSession.read.schema(schema).parquet(path)
-        return read_partition(written, self.month.scalar()).drop("yyyymm")
+        written = overwrite_month(df, f"{self.folder}/{name}", self.month)
+        return df.sparkSession.read.schema(df.schema).parquet(written)

@@ -43,7 +43,10 @@ def with_month(df: DataFrame, dated: DataFrame, column: str = "nav_date") -> Dat
 
 
 def overwrite_months(df: DataFrame, path: str, column: str = "yyyymm") -> None:
-    """Replace the monthly partitions found in ``df``; all others stay as they are."""
+    """Replace the monthly partitions found in ``df``; all others stay as they are.
+
+    A month that ``df`` lacks is not emptied; ``overwrite_month`` does that.
+    """
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -52,6 +55,13 @@ def overwrite_months(df: DataFrame, path: str, column: str = "yyyymm") -> None:
     )
 
 
+def overwrite_month(df: DataFrame, path: str, month: str, column: str = "yyyymm") -> str:
+    """Replace one month by ``df``, also when ``df`` is empty; the folder written."""
+    folder = f"{path}/{column}={month}"
+    df.write.mode("overwrite").parquet(folder)
+    return folder
+
+
 def overwrite_table_months(df: DataFrame, table: str, column: str = "yyyymm") -> None:
     """As ``overwrite_months`` for a catalog table; it is created when missing."""
     spark = df.sparkSession

@@ -8,7 +8,6 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskline import constants as c
 from duskline.functions.clock import bucket_floor, day_fraction, seconds_from_text
 from duskline.operators import (
     alerts,

@@ -24,6 +24,7 @@ from duskline.operators import (
     rollup,
     skew,
 )
+from duskline.plans.stages import Stages
 from duskline.sources import arrivals as feed
 from duskline.sources import schemas, sinks, tables
 from registry import fixtures as fx
@@ -352,7 +353,8 @@ def test_combine_reports_drops_incomplete_rows_first(spark):
 def test_five_minute_curve_edges(spark):
     data = [("16:00:00", "15:58:30"), ("16:04:59", "17:00:00"), ("19:00:00", "19:00:01")]
     profile = spark.createDataFrame([(sec(a), sec(b)) for a, b in data], "one int, two int")
-    keep = [tuple(r) for r in curves.volume_curve_5min(profile, ["one", "two"]).orderBy("time").collect()]
+    curve = curves.volume_curve_5min(profile, ["one", "two"]).orderBy("time")
+    keep = [tuple(row) for row in curve.collect()]
     assert len(keep) == 37
     assert keep[0] == ("16:00:00", 2, 0) and keep[12] == ("17:00:00", 2, 1)
     assert keep[-1] == ("19:00:00", 3, 1)
@@ -409,7 +411,8 @@ def days(spark, volumes):
     data = []
     for week, volume in enumerate(volumes):
         date = dt.date(2024, 1, 1) + dt.timedelta(weeks=week)
-        data += [("C", date, 0, b, 961 + 5 * (b - 1), volume if b == 1 else 0, volume, 1.0) for b in range(1, 38)]
+        for b in range(1, 38):
+            data.append(("C", date, 0, b, 956 + 5 * b, volume if b == 1 else 0, volume, 1.0))
     return spark.createDataFrame(
         data,
         "client_name string, nav_date date, weekday int, bin int, bin_label int, "
@@ -449,7 +452,10 @@ def test_moving_average_waits_for_its_width(spark):
 
 
 def test_alert_order_and_missing_labels(spark):
-    schema = "client_name string, weekday int, n int, cumsum int, predicted int, red_1 int, red_5 int, red_10 int, red_20 int"
+    schema = (
+        "client_name string, weekday int, n int, cumsum int, predicted int, "
+        "red_1 int, red_5 int, red_10 int, red_20 int"
+    )
     levels = (10, 2, 4, 6, 8)
     df = spark.createDataFrame([("C", 0, 1, v, *levels) for v in (10, 9, 8, 7, 5, 3, 1)], schema)
     labelled = alerts.with_alerts(df)
@@ -512,6 +518,27 @@ def test_month_overwrite_leaves_other_months(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(yyyymm" in text
 
 
+def test_a_month_can_become_empty(spark, arrivals, tmp_path):
+    df = arrivals([("C", "F", "T", 1, "16:00:00")])
+    stages = Stages(str(tmp_path), df)
+    assert stages.month == "202401"
+    assert stages.publish("t", df).count() == 1
+    assert stages.publish("t", df.where("sec < 0")).count() == 0
+    assert spark.read.parquet(str(tmp_path / "t")).columns[-1] == "yyyymm"
+    with pytest.raises(ValueError):
+        Stages(str(tmp_path), df.where("sec < 0"))
+
+
+def test_date_range_reaches_the_scan(spark, arrivals, tmp_path):
+    path = str(tmp_path / "arrivals")
+    arrivals([("C", "F", "T", day, "16:00:00") for day in range(1, 20)]).write.parquet(path)
+    kept = feed.date_range(tables.read_files(spark, path, ["fund_id", "nav_date"]), "2024-01-05", "2024-01-06")
+    assert kept.count() == 2
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(nav_date,2024-01-05)" in text
+    assert "ReadSchema: struct<fund_id:string,nav_date:date>" in text
+
+
 def test_catalog_table_months(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS duskline_test LOCATION '{tmp_path}/db'")
     old = spark.createDataFrame([(1, "202401"), (2, "202402")], "v int, yyyymm string")
@@ -525,6 +552,7 @@ def test_catalog_table_months(spark, tmp_path):
 def test_bin_dimension_from_csv(spark, tmp_path):
     path = str(tmp_path / "bins")
     axis = tables.bin_axis(spark)
-    sinks.publish_report(axis.select(F.col("bin_label").alias("Bin"), F.col("time_bin").alias("Time_Bin")), path, "csv")
+    named = axis.select(F.col("bin_label").alias("Bin"), F.col("time_bin").alias("Time_Bin"))
+    sinks.publish_report(named, path, "csv")
     back = tables.read_time_bins(spark, path)
     assert rows(back) == rows(axis.select("bin_label", "time_bin"))
