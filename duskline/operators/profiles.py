@@ -22,8 +22,6 @@ from duskline.operators.cohorts import dedupe_arrivals
 from duskline.operators.skew import count_rows, has_hot, weighted_rows
 from duskline.sources.sinks import settle
 
-PAIR = ["client_name", "fund_id"]
-
 
 STATS = ["total_days", "miss_days", "max_time_before_cutoff", "max_time"]
 
@@ -53,17 +51,23 @@ def sla_stats(
 
 
 def arrival_profile_short(
-    arrivals: DataFrame, *, max_short: int = c.SHORT_HISTORY_DAYS, cutoff: int = c.CUTOFF
+    arrivals: DataFrame,
+    *,
+    client: str = "client_name",
+    max_short: int = c.SHORT_HISTORY_DAYS,
+    cutoff: int = c.CUTOFF,
 ) -> DataFrame:
     """Funds with a short history: 1% and 50% points and cut-off statistics."""
     stats = sla_stats(arrivals, cutoff=cutoff).where(F.col("total_days") <= max_short)
-    points = linear_profile(dedupe_arrivals(arrivals), PAIR, c.SHORT_RANKS)
-    return points.join(stats, "fund_id").select(*PAIR, *c.SHORT_RANKS, *STATS)
+    pair = [client, "fund_id"]
+    points = linear_profile(dedupe_arrivals(arrivals, client=client), pair, c.SHORT_RANKS)
+    return points.join(stats, "fund_id").select(*pair, *c.SHORT_RANKS, *STATS)
 
 
 def arrival_profile_long(
     arrivals: DataFrame,
     *,
+    client: str = "client_name",
     max_short: int = c.SHORT_HISTORY_DAYS,
     cutoff: int = c.CUTOFF,
     k: float = c.OUTLIER_FENCE,
@@ -75,10 +79,11 @@ def arrival_profile_long(
     """
     long = F.col("total_days") > max_short
     stats = settle(_history_stats(arrivals, ["fund_id"], cutoff).where(long))
-    rows = weighted_rows(dedupe_arrivals(arrivals), PAIR, hot=has_hot(stats))
-    points = linear_profile(within_fences(rows, PAIR, k), PAIR, c.LONG_RANKS, weight=F.col("n"))
+    pair = [client, "fund_id"]
+    rows = weighted_rows(dedupe_arrivals(arrivals, client=client), pair, hot=has_hot(stats))
+    points = linear_profile(within_fences(rows, pair, k), pair, c.LONG_RANKS, weight=F.col("n"))
     return points.join(stats, "fund_id").select(
-        *PAIR,
+        *pair,
         *c.LONG_RANKS,
         *STATS,
         (F.col("max_time_before_cutoff") - c.CUTOFF_ALERT_LEAD).alias("alert_time"),

@@ -278,6 +278,18 @@ def test_profile_without_an_early_arrival(arrivals):
     assert found["predicted_time"] == "18:30:00" and found["miss_days"] == 2
 
 
+def test_numbered_clients_give_the_same_profile(spark):
+    df = fx.skewed(spark, MIDDLE)
+    keys = cohorts.client_keys(df)
+    known = cohorts.with_client_identifier(df, keys)
+    text = cohorts.dedupe_arrivals(known, client="client_identifier")
+    assert "SortAggregate" not in text._jdf.queryExecution().executedPlan().toString()
+    numbered = profiles.arrival_profile_long(known, client="client_identifier")
+    named = profiles.arrival_profile_long(df)
+    back = numbered.join(keys, "client_identifier").select(*named.columns)
+    assert rows(back) == rows(named)
+
+
 def test_quantiles_rise_with_rank(spark):
     found = profiles.arrival_profile_long(fx.skewed(spark, MIDDLE))
     names = ["quantile01", "quantile05", "predicted_time", "quantile80", "quantile95", "quantile99"]
