@@ -7,12 +7,19 @@ from conftest import MIDDLE
 
 import __spark_entry__ as contract
 from registry.compare import differences
+from registry.oracles import ORACLES
+from registry.queries import QUERIES
 
-NAMES = sorted(contract.queries())
+NAMES = sorted(QUERIES)
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_contract_holds_every_query():
+    assert set(NAMES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
