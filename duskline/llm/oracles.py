@@ -28,6 +28,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+# Five hex digits of a SHA-1 are four base32 characters.
+BASE32 = """array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform(range(0, 4),
+  lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, (5 * i + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * j)::BIGINT) & 31)::BIGINT + 1, 1)), '')), '')"""
+
+OP10 = f"""
+WITH page AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+  sha1(coalesce(html, '')) AS hex FROM pages),
+first AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS f FROM page)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to
+FROM first
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1,
+    "op10_warc": OP10,
 }

@@ -21,3 +21,14 @@ def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
         return cloudpickle.loads(sent.value)
 
     return value_of
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir names, which all executors share.
+
+    Where it is unset, as in tests, a subfolder of the session's warehouse is taken.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return folder.rstrip("/")
