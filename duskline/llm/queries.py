@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, warc
+from . import decontaminate, fingerprints, near_dedup, packing, suffix_dedup, warc
 from .tables import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,39 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_files(path: str | None = None) -> tuple[str, str]:
+    """The tokenizer's JSON and the pattern by which it splits texts."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read(), public_tokenizers.PATTERN
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), shared_folder(spark))
 
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_packing": op5_packing,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_fingerprints": op8_fingerprints,
     "op10_warc": op10_warc,
 }

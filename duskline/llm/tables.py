@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -32,3 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return folder.rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table into the shared folder and reads it back, so that no lineage is behind it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
