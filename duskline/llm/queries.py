@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, near_dedup, packing, suffix_dedup, warc
+from . import decontaminate, fingerprints, licenses, near_dedup, packing, suffix_dedup, warc
 from .tables import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), shared_folder(spark))
 
@@ -52,5 +56,6 @@ QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op7_near_dedup": op7_near_dedup,
     "op8_fingerprints": op8_fingerprints,
+    "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
 }
