@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, licenses, near_dedup, packing, suffix_dedup, warc
+from . import (
+    decontaminate,
+    fingerprints,
+    licenses,
+    near_dedup,
+    packing,
+    quality,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from .tables import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +28,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
@@ -34,6 +48,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.drop("evidence")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -52,8 +71,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op8_fingerprints": op8_fingerprints,
     "op9_licenses": op9_licenses,

@@ -150,3 +150,17 @@ def shingle_hashes(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]
         part = words.hashes[np.minimum(at + k, max(len(words.hashes) - 1, 0))] if len(at) else total
         total = np.where(k < length, mix(total * np.uint64(_BASE) + part + np.uint64(k + 1)), total)
     return total, firsts
+
+
+def prefix_hashes(words: Words, size: int) -> np.ndarray:
+    """Hashes of the first `size` bytes of each word, apart from those of whole words.
+
+    A word that is not longer has 0.
+    """
+    n = len(words.data)
+    powers, inverses = _power_tables(max(n, 1))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[words.data] * powers[:n], out=sums[1:])
+    stop = np.minimum(words.starts + size, words.ends)
+    hashes = mix((sums[stop] - sums[words.starts]) * inverses[words.starts] + np.uint64(size * 2 + 1))
+    return np.where(words.ends - words.starts > size, hashes, np.uint64(0))
