@@ -152,15 +152,19 @@ def shingle_hashes(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]
     return total, firsts
 
 
-def prefix_hashes(words: Words, size: int) -> np.ndarray:
-    """Hashes of the first `size` bytes of each word, apart from those of whole words.
+def prefix_hashes(words: Words, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per size: the words longer than that many bytes, and hashes of their first bytes.
 
-    A word that is not longer has 0.
+    These differ from the hashes of whole words.
     """
     n = len(words.data)
     powers, inverses = _power_tables(max(n, 1))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[words.data] * powers[:n], out=sums[1:])
-    stop = np.minimum(words.starts + size, words.ends)
-    hashes = mix((sums[stop] - sums[words.starts]) * inverses[words.starts] + np.uint64(size * 2 + 1))
-    return np.where(words.ends - words.starts > size, hashes, np.uint64(0))
+    out, lengths = [], words.ends - words.starts
+    for size in sizes:
+        own = np.flatnonzero(lengths > size)
+        starts = words.starts[own]
+        part = (sums[starts + size] - sums[starts]) * inverses[starts]
+        out.append((own, mix(part + np.uint64(size * 2 + 1))))
+    return out

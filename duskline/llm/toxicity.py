@@ -32,9 +32,15 @@ MODULUS, HELD_OUT = 4, 2
 EXAMPLES = 6000
 TERMS = 4096
 LEAST_EXAMPLES = 3
+# Chi-squared of a term; about one in a million unrelated terms reaches it.
+LEAST_CHI = 24
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 15
+# Weight, in cosines, of the share of toxic ones among examples without a term.
+PRIOR = 1.0
 BLOCK = 64
+# Blocks looked at in one step, in the order of their bounds.
+AT_ONCE = 8
 THRESHOLD = 0.3
 
 
@@ -53,17 +59,16 @@ class Index:
     curve: tuple[float, float]
 
 
-def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of every word and word beginning."""
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term) of every word and word beginning, and the number of words of each row."""
     words = words_of(data, offsets, letters_and_digits())
     rows = np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
-    all_rows, terms = [rows], [words.hashes]
-    for size in BEGINNINGS:
-        found = prefix_hashes(words, size)
-        own = found != 0
-        all_rows.append(rows[own])
-        terms.append(found[own])
-    return np.concatenate(all_rows), np.concatenate(terms)
+    found = prefix_hashes(words, BEGINNINGS)
+    return (
+        np.concatenate([rows, *(rows[own] for own, _ in found)]),
+        np.concatenate([words.hashes, *(hashes for _, hashes in found)]),
+        np.diff(words.rows),
+    )
 
 
 def _counted(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,9 +83,12 @@ def _known(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.nd
     """Which terms are in the vocabulary, and their numbers."""
     if not len(vocabulary):
         return np.zeros(0, int), np.zeros(0, int)
-    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-    own = np.flatnonzero(vocabulary[at] == terms)
-    return own, at[own]
+    seen = np.zeros(1 << 20, bool)
+    seen[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
+    maybe = np.flatnonzero(seen[(terms >> np.uint64(44)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(vocabulary, terms[maybe]), len(vocabulary) - 1)
+    own = vocabulary[at] == terms[maybe]
+    return maybe[own], at[own]
 
 
 def _vocabulary(terms: np.ndarray, toxic: np.ndarray, n: int, ones: int) -> np.ndarray:
@@ -90,41 +98,49 @@ def _vocabulary(terms: np.ndarray, toxic: np.ndarray, n: int, ones: int) -> np.n
     expected = df * ones / n
     chi = (hits - expected) ** 2 / np.maximum(expected, 1e-9) * n / max(n - ones, 1)
     # Twice the share of toxic examples, and more often toxic than not.
-    good = np.flatnonzero((hits >= LEAST_EXAMPLES) & (hits * n > 2 * df * ones) & (2 * hits > df))
+    good = np.flatnonzero((hits >= LEAST_EXAMPLES) & (chi >= LEAST_CHI) & (hits * n > 2 * df * ones) & (2 * hits > df))
     best = good[np.lexsort((values[good], -chi[good]))][:TERMS]
     return np.sort(values[best])
 
 
-def _weights(rows: np.ndarray, numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights, of unit length per row."""
+def _weights(
+    rows: np.ndarray, numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray, words: np.ndarray
+) -> np.ndarray:
+    """TF-IDF weights, of unit length per row, in which every word of the text counts as 1 besides."""
     weights = (1 + np.log(counts)) * idf[numbers]
-    norm = np.sqrt(np.bincount(rows, weights**2)) if len(rows) else np.zeros(1)
-    return weights / norm[rows] if len(rows) else weights
+    norm = np.sqrt(np.bincount(rows, weights**2, len(words)) + words)
+    return weights / norm[rows]
 
 
 def neighbours(index: Index, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """The NEIGHBOURS examples of largest cosine above 0, exactly; `skip` is left out."""
     bounds = weights @ index.bound[terms]
     best_ids, best = np.zeros(0, int), np.zeros(0)
-    for block in np.argsort(-bounds, kind="stable").tolist():
-        if bounds[block] <= 0 or (len(best) == NEIGHBOURS and bounds[block] + 1e-9 < best[-1]):
-            break
-        scores = np.zeros(BLOCK)
-        for term, weight in zip(terms.tolist(), weights.tolist(), strict=True):
-            a, b = index.start[term, block], index.start[term, block + 1]
-            scores[index.examples[a:b] - block * BLOCK] += weight * index.weights[a:b]
-        found = np.flatnonzero(scores > 0)
-        found = found[found + block * BLOCK != skip]
-        ids, values = np.append(best_ids, found + block * BLOCK), np.append(best, scores[found])
-        order = np.lexsort((ids, -values))[:NEIGHBOURS]
-        best_ids, best = ids[order], values[order]
+    order = np.argsort(-bounds, kind="stable")
+    order = order[bounds[order] > 0]
+    for at in range(0, len(order), AT_ONCE):
+        blocks = order[at : at + AT_ONCE]
+        if len(best) == NEIGHBOURS:
+            blocks = blocks[bounds[blocks] + 1e-9 >= best[-1]]
+            if not len(blocks):
+                break
+        first, last = index.start[terms][:, blocks], index.start[terms][:, blocks + 1]
+        counts = (last - first).ravel()
+        before = np.cumsum(counts) - counts
+        postings = np.arange(int(counts.sum())) + np.repeat(first.ravel() - before, counts)
+        gained = np.repeat(np.repeat(weights, len(blocks)), counts) * index.weights[postings]
+        found, where = np.unique(index.examples[postings], return_inverse=True)
+        scores = np.bincount(where, gained, len(found))
+        other = found != skip
+        ids, values = np.append(best_ids, found[other]), np.append(best, scores[other])
+        top = np.lexsort((ids, -values))[:NEIGHBOURS]
+        best_ids, best = ids[top], values[top]
     return best_ids, best
 
 
 def _vote(index: Index, ids: np.ndarray, cosines: np.ndarray) -> float:
     """Share of toxic neighbours, weighted by cosine; far neighbours count little."""
-    prior = 0.1
-    return float((cosines @ index.labels[ids] + prior * index.without) / (cosines.sum() + prior))
+    return float((cosines @ index.labels[ids] + PRIOR * index.without) / (cosines.sum() + PRIOR))
 
 
 def _curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -146,17 +162,18 @@ def build(texts: list[str], labels: list[int], positive_share: float | None = No
     data, offsets = column_bytes(pa.array(texts, pa.large_string()))
     parts, at = [], 0
     for first, last in steps(offsets):
-        rows, terms, counts = _counted(*terms_of(data, offsets[first : last + 1]))
-        parts.append((rows + at, terms, counts))
+        rows, terms, sizes = terms_of(data, offsets[first : last + 1])
+        rows, terms, counts = _counted(rows, terms)
+        parts.append((rows + at, terms, counts, sizes))
         at += last - first
     none = np.zeros(0, int)
-    rows, terms, counts = (np.concatenate([p[k] for p in parts]) if parts else none for k in range(3))
+    rows, terms, counts, words = (np.concatenate([p[k] for p in parts]) if parts else none for k in range(4))
     n, ones = len(y), int(y.sum())
     vocabulary = _vocabulary(terms, y[rows], n, ones) if n and len(rows) else np.zeros(0, np.uint64)
     own, numbers = _known(vocabulary, terms)
     rows, counts = rows[own], counts[own]
     idf = np.log((n + 1) / (np.bincount(numbers, minlength=len(vocabulary)) + 1)) + 1 if len(vocabulary) else np.zeros(0)
-    weights = _weights(rows, numbers, counts, idf)
+    weights = _weights(rows, numbers, counts, idf, words)
     order = np.lexsort((rows, numbers))
     examples, blocks = rows[order], max(1, -(-n // BLOCK))
     slot = numbers[order] * blocks + examples // BLOCK
@@ -183,10 +200,10 @@ def scored(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     """Scores of the rows, and the example numbers that gave them."""
     n = len(offsets) - 1
     scores, evidence = np.full(n, index.without), [[] for _ in range(n)]
-    rows, terms = terms_of(data, offsets)
+    rows, terms, words = terms_of(data, offsets)
     own, numbers = _known(index.terms, terms)
     rows, numbers, counts = _counted(rows[own], numbers)
-    weights = _weights(rows, numbers, counts, index.idf)
+    weights = _weights(rows, numbers, counts, index.idf, words)
     cuts = np.searchsorted(rows, np.arange(n + 1))
     slope, base = index.curve
     for row in np.unique(rows).tolist():
