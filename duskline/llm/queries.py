@@ -10,6 +10,7 @@ from . import (
     decontaminate,
     fingerprints,
     licenses,
+    main_text,
     near_dedup,
     packing,
     quality,
@@ -28,6 +29,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_main_text": op2_main_text,
     "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
