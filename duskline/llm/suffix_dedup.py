@@ -35,9 +35,9 @@ from .textbytes import _VALUES, _power_tables, column_bytes, mix
 
 LENGTH = 50
 GRAM = 16
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 # Bytes of anchors that one part of the hash values holds on average.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
