@@ -27,7 +27,7 @@ from .tables import shared
 from .textbytes import Words, column_bytes, letters_and_digits, steps, words_of
 
 MODULUS, HELD_OUT = 3, 1
-SAMPLE = 12_000
+SAMPLE = 6_000
 SLOTS, WIDTH, NONZERO, REACH = 1 << 15, 32, 4, 2
 HIDDEN, EPOCHS, BATCH = 48, 30, 128
 

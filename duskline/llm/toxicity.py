@@ -29,7 +29,7 @@ from .tables import shared
 from .textbytes import column_bytes, letters_and_digits, prefix_hashes, steps, words_of
 
 MODULUS, HELD_OUT = 4, 2
-EXAMPLES = 6000
+EXAMPLES = 2000
 TERMS = 4096
 LEAST_EXAMPLES = 3
 # Chi-squared of a term; about one in a million unrelated terms reaches it.
