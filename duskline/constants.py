@@ -17,7 +17,6 @@ MOVING_RANGE_FACTOR = 2.66
 CUTOFF_ALERT_LEAD = 300  # alert: latest arrival before the cut-off minus five minutes
 LATEST_ALERT_LEAD = 120  # alert: 99% quantile minus two minutes
 RED_ALLOWANCE = 0.01
-CURVE_ROWS = 190
 
 # Quantile ranks (percent) and the column each one fills.
 SHORT_RANKS = {"quantile01": 1, "predicted_time": 50}

@@ -68,15 +68,10 @@ def volume_curve_1min(profile: DataFrame, late_column: str) -> DataFrame:
     )
 
 
-def volume_totals(curve: DataFrame, rows: int = c.CURVE_ROWS) -> DataFrame:
+def volume_totals(curve: DataFrame) -> DataFrame:
     """The client curves added up per time, in time order."""
     volumes = [name for name in curve.columns if name.startswith("volume_")]
-    return (
-        curve.groupBy("time")
-        .agg(*[F.sum(name).alias(name) for name in volumes])
-        .orderBy("time")
-        .limit(rows)
-    )
+    return curve.groupBy("time").agg(*[F.sum(name).alias(name) for name in volumes]).orderBy("time")
 
 
 def curve_ends(curve: DataFrame, rows: int = 10) -> DataFrame:

@@ -103,8 +103,10 @@ def ticker_profile(
     ranks = {name: rank for name, rank in c.LONG_RANKS.items() if name != "predicted_time"}
     median = whole_seconds(linear("sec", [50], F.col("n"))[0]).alias("predicted_time")
     long = F.col("total_days") > max_short
-    stats = settle(_history_stats(arrivals, ["ticker"], cutoff).where(long))
-    rows = weighted_rows(arrivals, ["ticker"], hot=has_hot(stats))
+    every = settle(_history_stats(arrivals, ["ticker"], cutoff))
+    stats = every.where(long)
+    # The windows see all tickers, so those with a short history count as well.
+    rows = weighted_rows(arrivals, ["ticker"], hot=has_hot(every))
     inliers = within_fences(rows, ["ticker"], k)
     points = nearest_profile(inliers, ["ticker"], ranks, "sec", median)
     return (

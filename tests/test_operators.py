@@ -568,3 +568,8 @@ def test_bin_dimension_from_csv(spark, tmp_path):
     sinks.publish_report(named, path, "csv")
     back = tables.read_time_bins(spark, path)
     assert rows(back) == rows(axis.select("bin_label", "time_bin"))
+
+
+def test_volume_totals_keep_every_time(spark):
+    curve = spark.range(300).selectExpr("'a' as client_name", "cast(id as string) as time", "id as volume_x")
+    assert curves.volume_totals(curve).count() == 300
