@@ -134,6 +134,21 @@ def test_packing_round_trip(docs):
     assert len(sequences) <= -(-total // 2048) + 1
 
 
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    vocabulary, pattern = tokenizer_files()
+    tokenizer = Tokenizer.from_str(vocabulary)
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(3)
+    letters = [chr(c) for r in ((0, 127), (0xA0, 0x250), (0x300, 0x3A0), (0x2000, 0x2070), (0x1F300, 0x1F400)) for c in range(*r)]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(120))) for _ in range(800)]
+    texts += ["<|endoftext|> a", "a" * (packing.LONG_RUN - 1), "a b" + "a" * packing.LONG_RUN, " " * (packing.LONG_RUN + 1) + "x"]
+    encode = packing.encoder(vocabulary, pattern)
+    for text in texts:
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pack_holds_every_piece(seed):
     rng = random.Random(seed)
