@@ -127,7 +127,13 @@ def _base(padded: Column, phrase: str) -> Column:
     return F.when(F.contains(padded, F.lit(f" {phrase} ")), found).otherwise(none.cast("struct<n:bigint,first:bigint,last:bigint>"))
 
 
-def _detections(padded: Column, signatures: list[Rule]) -> Column:
+def _present(padded: Column, signatures: list[Rule]) -> Column:
+    """The keywords that occur."""
+    keywords = sorted({keyword for _, keyword, _, _ in signatures})
+    return F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(k)), F.lit(k)) for k in keywords]))
+
+
+def _detections(padded: Column, present: Column, signatures: list[Rule]) -> Column:
     """Every place at which a rule matches: (start, stop, rule, label, score)."""
     kind = "array<struct<start:int,stop:int,rule:int,label:string,score:double>>"
     table = F.array(
@@ -159,9 +165,8 @@ def _detections(padded: Column, signatures: list[Rule]) -> Column:
         pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.struct(a.alias("before"), b.alias("match")))
         return F.aggregate(pairs, start, step, lambda state: state["out"])
 
-    tried = F.filter(table, lambda rule: F.contains(padded, rule["keyword"]))
-    keywords = "|".join(sorted({keyword for _, keyword, _, _ in signatures}))
-    return F.when(padded.rlike(keywords), F.flatten(F.transform(tried, spans))).otherwise(F.expr(f"cast(array() as {kind})"))
+    tried = F.filter(table, lambda rule: F.array_contains(present, rule["keyword"]))
+    return F.when(F.size(present) > 0, F.flatten(F.transform(tried, spans))).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
 def _surviving(found: Column) -> Column:
@@ -184,7 +189,8 @@ def license_scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataF
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalized(F.col("text")).alias("norm"))
         .withColumn("padded", F.concat(F.lit(" "), F.col("norm"), F.lit(" ")))
         .withColumns({name: _base(F.col("padded"), phrase) for name, (phrase, _) in zip(base, BASE, strict=True)})
-        .withColumn("found", _detections(F.col("padded"), signatures))
+        .withColumn("present", _present(F.col("padded"), signatures))
+        .withColumn("found", _detections(F.col("padded"), F.col("present"), signatures))
         .withColumn("detections", _surviving(F.col("found")))
     )
     labels = F.filter(
