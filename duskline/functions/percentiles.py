@@ -3,7 +3,7 @@
 ``percentile`` as an aggregate combines on the map side: a task sends at most one entry per
 second of the day for an entity, so an entity with very many arrivals is no burden. Windows
 have no such step. What uses them takes weighted rows, which stand for ``n`` arrivals each;
-where an entity has very many arrivals they are counted per second before they get here (see
+arrivals are counted per entity and second before they get here (see
 ``duskline.operators.skew``).
 """
 

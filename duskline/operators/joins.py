@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from duskline.operators.skew import hot_keys
+from duskline.operators.skew import row_salt
 from duskline.sources.sinks import settle
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+SALTS = 16  # tasks that share a key when a table is too large to be broadcast
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -46,8 +47,8 @@ def lookup_join(
     """Join a large table to a table with one row per key (inner, left, semi or anti).
 
     The lookup side is settled and measured first. When it fits, it is broadcast and the
-    large side is not shuffled at all. When it does not fit, the rows of hot keys, which are
-    few, are joined by broadcast, and only the other keys are joined by shuffle.
+    large side is not shuffled at all. When it does not fit, the large side is shuffled by key
+    and salt, and the lookup side is repeated per salt; rows without a key are spread as well.
     """
     lookup = settle(lookup)
     columns = list(facts.columns)
@@ -55,15 +56,8 @@ def lookup_join(
         columns += [name for name in lookup.columns if name not in keys]
     if fits_broadcast(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), list(keys), how).select(*columns)
-    keys = list(keys)
-    hot = hot_keys(facts, keys)
-    if hot is None:
-        return facts.join(lookup, keys, how).select(*columns)
-    hot = F.broadcast(hot)
-    hot_side = facts.join(hot, keys, "left_semi").join(
-        F.broadcast(lookup.join(hot, keys, "left_semi")), keys, how
+    on = [*keys, "_salt"]
+    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (
+        facts.withColumn("_salt", row_salt(facts, keys, SALTS)).join(salted, on, how).select(*columns)
     )
-    cold_side = facts.join(hot, keys, "left_anti").join(
-        lookup.join(hot, keys, "left_anti"), keys, how
-    )
-    return hot_side.select(*columns).unionByName(cold_side.select(*columns))

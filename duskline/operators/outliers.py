@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from duskline import constants as c
 from duskline.functions.percentiles import fence_columns, linear
 from duskline.operators.joins import lookup_join
-from duskline.operators.skew import count_rows, has_hot, weighted_rows
+from duskline.operators.skew import weighted_rows
 
 
 class Split(NamedTuple):
@@ -66,7 +66,7 @@ def zone_counts(
     points = linear(value, [25, 75], F.col("n")).over(Window.partitionBy(*keys))
     low, high = fence_columns(F.col("_points"), k)
     labelled = (
-        weighted_rows(df, keys, [value], hot=has_hot(count_rows(df, keys)))
+        weighted_rows(df, keys, [value])
         .withColumn("_points", points)
         .withColumns({"fence_low": low, "fence_high": high})
         .withColumn("zone", zone(value))

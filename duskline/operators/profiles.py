@@ -19,8 +19,7 @@ from duskline.functions.percentiles import (
     within_fences,
 )
 from duskline.operators.cohorts import dedupe_arrivals
-from duskline.operators.skew import count_rows, has_hot, weighted_rows
-from duskline.sources.sinks import settle
+from duskline.operators.skew import weighted_rows
 
 
 STATS = ["total_days", "miss_days", "max_time_before_cutoff", "max_time"]
@@ -73,14 +72,11 @@ def arrival_profile_long(
     k: float = c.OUTLIER_FENCE,
 ) -> DataFrame:
     """Funds with a long history: eleven quantiles without outliers, cut-off statistics and
-    the alert time, five minutes ahead of the latest arrival before the cut-off.
-
-    The statistics are settled: they also tell whether a fund is hot.
-    """
+    the alert time, five minutes ahead of the latest arrival before the cut-off."""
     long = F.col("total_days") > max_short
-    stats = settle(_history_stats(arrivals, ["fund_id"], cutoff).where(long))
+    stats = _history_stats(arrivals, ["fund_id"], cutoff).where(long)
     pair = [client, "fund_id"]
-    rows = weighted_rows(dedupe_arrivals(arrivals, client=client), pair, hot=has_hot(stats))
+    rows = weighted_rows(dedupe_arrivals(arrivals, client=client), pair)
     points = linear_profile(within_fences(rows, pair, k), pair, c.LONG_RANKS, weight=F.col("n"))
     return points.join(stats, "fund_id").select(
         *pair,
@@ -103,10 +99,8 @@ def ticker_profile(
     ranks = {name: rank for name, rank in c.LONG_RANKS.items() if name != "predicted_time"}
     median = whole_seconds(linear("sec", [50], F.col("n"))[0]).alias("predicted_time")
     long = F.col("total_days") > max_short
-    every = settle(_history_stats(arrivals, ["ticker"], cutoff))
-    stats = every.where(long)
-    # The windows see all tickers, so those with a short history count as well.
-    rows = weighted_rows(arrivals, ["ticker"], hot=has_hot(every))
+    stats = _history_stats(arrivals, ["ticker"], cutoff).where(long)
+    rows = weighted_rows(arrivals, ["ticker"])
     inliers = within_fences(rows, ["ticker"], k)
     points = nearest_profile(inliers, ["ticker"], ranks, "sec", median)
     return (
@@ -164,7 +158,7 @@ def nearest_quantiles(
 ) -> DataFrame:
     """Nearest-rank percentiles (ranks in percent), one column per rank."""
     names = {f"p{rank:02d}": rank for rank in ranks}
-    rows = weighted_rows(arrivals, keys, [value], hot=has_hot(count_rows(arrivals, keys)))
+    rows = weighted_rows(arrivals, keys, [value])
     return nearest_profile(rows, keys, names, value)
 
 

@@ -1,56 +1,34 @@
-"""Finding the keys that hold too many rows for one task, and making them small."""
+"""Making keys with very many rows small before one task takes them whole."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskline.sources.sinks import settle
 
-HOT_ROWS = 4_000_000  # a key with more rows is hot: one task should not take them all
-HOT_LIMIT = 500_000  # never more keys than this, so that they can be broadcast
-
-
-def hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """The keys with more rows than one task should take, or None when there are none.
-
-    One count per key, combined on the map side, reads the facts. There are at most as many
-    hot keys as ``HOT_ROWS`` goes into all rows. Should that be over ``HOT_LIMIT``, the bound
-    is raised to that share of all rows.
-    """
-    counted = count_rows(facts.na.drop("any", subset=list(keys)), keys)
-    hot = settle(counted.where(F.col("n_rows") > HOT_ROWS))
-    found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("n_rows").alias("rows")).first()
-    if found["keys"] == 0:
-        return None
-    if found["keys"] > HOT_LIMIT:
-        hot = hot.where(F.col("n_rows") > found["rows"] // HOT_LIMIT)
-    return hot.select(*keys)
-
-
-def has_hot(counted: DataFrame) -> bool:
-    """Whether any key of a table with the rows of each key in ``n_rows`` is hot."""
-    return (counted.agg(F.max("n_rows").alias("most")).first()["most"] or 0) > HOT_ROWS
-
-
-def count_rows(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def weighted_rows(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str] = ("sec",), *, hot: bool
-) -> DataFrame:
+def weighted_rows(df: DataFrame, keys: Sequence[str], values: Sequence[str] = ("sec",)) -> DataFrame:
     """Keys, values and a weight ``n``; summing the weights counts the rows.
 
-    Without hot keys the rows pass as they are, to be shuffled once by whatever follows.
-    With them all rows are counted per key and value first, which splits a hot key over many
-    tasks: seconds of the day have at most 86,400 values, so what follows sees no more rows
-    than that per key, however many there were.
+    Rows are counted per key and value on the map side, which splits a hot key over many tasks:
+    seconds of the day have at most 86,400 values, so what follows sees no more rows than that
+    per key, however many there were. Rows with a null key or value are left out.
     """
     columns = [*keys, *values]
     rows = df.select(*columns).na.drop("any")
-    if not hot:
-        return rows.withColumn("n", F.lit(1).cast("bigint"))
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def row_salt(df: DataFrame, keys: Sequence[str], salts: int) -> Column:
+    """A salt from 0 to ``salts - 1`` by the row's content, the same when a task is repeated.
+
+    Rows with a null key match nothing; they get negative salts of a wide range instead, so
+    that a shuffle by keys and salt spreads them.
+    """
+    content = F.xxhash64(*df.columns)
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    wide = (-1 - F.pmod(content, F.lit(1 << 20))).cast("int")
+    return F.when(no_key, wide).otherwise(F.pmod(content, F.lit(salts)).cast("int"))

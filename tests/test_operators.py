@@ -95,7 +95,7 @@ def test_normalize_keeps_real_dates_only(spark):
 def test_nearest_rank_rounds_half_to_even(spark, rank, expected):
     # Six values: positions 0.5, 1.5, 2.5 and 3.5 go to 0, 2, 2 and 4.
     df = spark.createDataFrame([("k", v) for v in range(1, 7)], "k string, sec int")
-    found = nearest_profile(skew.weighted_rows(df, ["k"], hot=False), ["k"], {"p": rank})
+    found = nearest_profile(skew.weighted_rows(df, ["k"]), ["k"], {"p": rank})
     assert rows(found) == [("k", expected)]
 
 
@@ -195,14 +195,12 @@ def test_client_dimension_drops_the_null_name(spark, arrivals):
     assert rows(cohorts.with_client_identifier(df, clients).select("client_identifier")) == [(1,)]
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10**9])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_lookup_join_without_broadcast_is_the_same(spark, monkeypatch, how, hot_rows):
-    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
-    # Key 0 holds a third of all rows and some rows have no key.
+def test_lookup_join_without_broadcast_is_the_same(spark, how):
+    # Key 0 holds a third of all rows and a sixth of the rows have no key.
     facts = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 0)
-        .when(F.col("id") % 100 != 1, F.col("id") % 500)
+        .when(F.col("id") % 6 != 1, F.col("id") % 500)
         .alias("k"),
         F.col("id").alias("v"),
     )
@@ -211,42 +209,33 @@ def test_lookup_join_without_broadcast_is_the_same(spark, monkeypatch, how, hot_
     large = joins.lookup_join(facts, lookup, ["k"], how, broadcast_rows=0)
     assert small.columns == large.columns
     assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
-    hot = skew.hot_keys(facts, ["k"])
-    assert hot is None if hot_rows > 3000 else rows(hot) == [(0,)]
-
-
-def test_hot_keys_change_no_result(spark, monkeypatch):
-    df = fx.skewed(spark, MIDDLE).withColumn(
-        "ticker", F.when(F.col("sec") % 3 == 0, "hot").otherwise(F.col("ticker"))
+    scans = large._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 3000")
+    assert scans == 1
+
+
+def test_a_row_salt_spreads_hot_and_missing_keys(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).alias("k"), "id")
+    salted = df.withColumn("salt", skew.row_salt(df, ["k"], 16))
+    assert salted.where("k = 7").agg(F.min("salt"), F.max("salt")).first() == (0, 15)
+    missing = salted.where("k is null").agg(F.max("salt"), F.countDistinct("salt")).first()
+    assert missing[0] < 0 and missing[1] > 1900
+
+
+def test_a_hot_ticker_with_a_short_history_is_counted_first(spark):
+    # One date, so no profile, but all rows of the ticker would meet in one window.
+    hot = spark.range(3000).select(
+        F.lit("A").alias("client_name"),
+        F.lit("F").alias("fund_id"),
+        F.lit("hot").alias("ticker"),
+        F.to_date(F.lit("2024-01-02")).alias("nav_date"),
+        (F.col("id") % 5).cast("int").alias("sec"),
     )
+    df = fx.skewed(spark, MIDDLE).select(*hot.columns)
+    both = df.unionByName(hot)
+    weighted = skew.weighted_rows(both, ["ticker"])
+    assert weighted.where("ticker = 'hot'").agg(F.count("*"), F.sum("n")).first() == (5, 3000)
     known = cohorts.entity_map(df)
-    calls = {
-        "linear": lambda: profiles.linear_quantiles(df, ["ticker"], [1, 25, 50, 99]),
-        "nearest": lambda: profiles.nearest_quantiles(df, ["ticker"], [1, 25, 50, 99]),
-        "zones": lambda: outliers.zone_counts(df, ["ticker"], k=1.5),
-        "fences": lambda: outliers.fences(df, ["ticker"]),
-        "long": lambda: profiles.arrival_profile_long(df),
-        "ticker": lambda: profiles.ticker_profile(df, known),
-    }
-    plain = {name: rows(call()) for name, call in calls.items()}
-    monkeypatch.setattr(skew, "HOT_ROWS", 500)
-    assert rows(skew.hot_keys(df, ["ticker"])) == [("hot",)]
-    assert skew.has_hot(skew.count_rows(df, ["ticker"]))
-    weighted = skew.weighted_rows(df, ["ticker"], hot=True)
-    assert rows(weighted.agg(F.sum("n"))) == [(df.count(),)]
-    assert weighted.where("ticker = 'hot' and n > 1").count() > 0
-    for name, call in calls.items():
-        assert rows(call()) == plain[name], name
-
-
-def test_hot_keys_stay_few(spark, monkeypatch):
-    df = spark.range(1000).select((F.col("id") % 100).alias("k"))
-    assert skew.hot_keys(df, ["k"]) is None
-    monkeypatch.setattr(skew, "HOT_ROWS", 1)
-    monkeypatch.setattr(skew, "HOT_LIMIT", 10)
-    assert rows(skew.hot_keys(df, ["k"])) == []
-    uneven = df.unionAll(spark.range(200).select(F.lit(5).cast("bigint").alias("k")))
-    assert rows(skew.hot_keys(uneven, ["k"])) == [(5,)]
+    assert rows(profiles.ticker_profile(both, known)) == rows(profiles.ticker_profile(df, known))
 
 
 def test_lookup_join_measures_before_it_broadcasts(spark):
