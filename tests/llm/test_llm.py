@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from duskline.llm import decontaminate, fingerprints, licenses, main_text, near_dedup, packing, quality
@@ -227,6 +228,59 @@ def test_block_max_is_exact():
     assert np.allclose(np.sort(full)[::-1][: len(best)], best)
 
 
+def test_neighbours_are_those_of_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "SPAN", 64)
+    rng = random.Random(4)
+    words = ["w%d" % k for k in range(400)] + ["häufig", "common"] * 40
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(700)]
+    labels = [int(k % 50 == 0) for k in range(700)]
+    index = toxicity.build(texts, labels)
+    queries = texts[:40] + ["unknownword " + t for t in texts[40:60]] + ["", "nothingknown"]
+
+    def counted(text):
+        found = defaultdict(int)
+        for word in (w.encode() for w in re.findall(WORD, text.translate(LOWER))):
+            found[word, 0] += 1
+            for size in toxicity.BEGINNINGS:
+                if len(word) > size:
+                    found[word[:size], size] += 1
+        return found
+
+    bags = [counted(t) for t in texts]
+    df = defaultdict(int)
+    for bag in bags:
+        for term in bag:
+            df[term] += 1
+
+    def vector(bag):
+        weights = {t: (1 + np.log(c)) * (np.log(701 / (df.get(t, 0) + 1)) + 1) for t, c in bag.items()}
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        return {t: w / norm for t, w in weights.items()}
+
+    examples = [vector(b) for b in bags]
+    data, offsets = toxicity.column_bytes(pa.array(queries, pa.large_string()))
+    rows, terms, _ = toxicity.terms_of(data, offsets)
+    found = toxicity.nearest(index.cosine, *toxicity._counted(rows, terms), len(queries))
+    for query, (ids, cosines) in zip(queries, found, strict=True):
+        own = vector(counted(query))
+        full = np.array([sum(w * e.get(t, 0.0) for t, w in own.items()) for e in examples])
+        best = np.sort(full[full > 0])[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose(cosines, best) and np.allclose(full[ids], cosines)
+    assert all(np.isclose(found[k][1][0], 1) for k in range(40)) and not len(found[-1][0])
+
+
+def test_a_copy_of_a_toxic_example_is_toxic():
+    rng = random.Random(6)
+    texts = [" ".join(f"word{rng.randrange(300)}" for _ in range(30)) for _ in range(300)]
+    # No term of this one is in three examples.
+    texts += ["zxa zxb zxc zxd zxe"]
+    index = toxicity.build(texts, [0] * 300 + [1])
+    data, offsets = toxicity.column_bytes(pa.array([texts[-1], texts[0]], pa.large_string()))
+    scores, evidence = toxicity.scored(index, data, offsets)
+    assert evidence[0] == [300] and evidence[1][0] == 0
+    assert scores[0] > toxicity.THRESHOLD > scores[1]
+
+
 def test_main_text(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", main_text.LABELLED[0]), (4, "u", "<div><p>unclosed &amp; <b>bold")]
     found = {r.page_id: r for r in main_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
