@@ -9,7 +9,8 @@ Many short lanes of text advance at once, so that a step is one numpy call.
 
 Defined cases: a null or empty text has no words; a null or empty item has no pattern and an item
 without an id is never listed; items with equal texts are all listed; repeated rows of `docs` are
-judged one by one; an empty benchmark marks nothing; other columns are ignored.
+judged one by one, whatever the size of the benchmark; an empty benchmark marks nothing; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import shared
+from .tables import settled, shared
 from .textbytes import Words, column_bytes, letters_and_digits, mix, steps, words_of
 
 WINDOW = 10
@@ -169,7 +170,7 @@ def hits_of(words: Words, patterns: Patterns) -> tuple[np.ndarray, list[set[int]
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
-    """Items in parts of bounded size, one part in the driver at a time."""
+    """Items in parts of bounded size, read one after the other."""
     part, held = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         part.append((item, text))
@@ -217,39 +218,58 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
         return run
 
-    tables = [patterns_of(part, window) for part in _parts(benchmark)] or [patterns_of([], window)]
-    found = [source.mapInArrow(search(shared(spark, t)), HITS) for t in tables]
-    return found[0] if len(found) == 1 else _merged(found)
-
+    parts = _parts(benchmark)
+    part, following = next(parts, []), next(parts, None)
+    if following is None:
+        return source.mapInArrow(search(shared(spark, patterns_of(part, window))), HITS)
+    # Each part is a pass of its own over numbered rows, so that one part's tables exist at a time.
+    rows = settled(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.col("row").alias("doc_id"), "text")
+    found = None
+    while part is not None:
+        hits = numbered.mapInArrow(search(shared(spark, patterns_of(part, window))), HITS)
+        hits = settled(hits if found is None else hits.where("n_hit > 0"), "hits")
+        found = hits if found is None else found.unionAll(hits)
+        part, following = following, next(parts, None)
+    return _merged(found, rows)
+
+
+def _united(batches):
+    """Joins the runs of the parts of each row; runs that touch become one."""
+    for batch in batches:
+        out = []
+        for places in batch.column(3).to_pylist():
+            starts, ends = [], []
+            for start, end in sorted(pair for p in places for pair in zip(p["starts"], p["ends"], strict=True)):
+                if ends and start <= ends[-1]:
+                    ends[-1] = max(ends[-1], end)
+                else:
+                    starts.append(start)
+                    ends.append(end)
+            out.append((sum(ends) - sum(starts), starts, ends))
+        n_hit, starts, ends = ([o[k] for o in out] for k in range(3))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                batch.column(1),
+                pa.array(n_hit, pa.int64()),
+                batch.column(2),
+                pa.array(starts, pa.list_(pa.int64())),
+                pa.array(ends, pa.list_(pa.int64())),
+            ],
+            names=["doc_id", "n_words", "n_hit", "items", "starts", "ends"],
+        )
 
-def _merged(found: list[DataFrame]) -> DataFrame:
-    """One row per document from searches of several parts of the benchmark.
 
-    Rows with the same doc_id are merged here, so a large benchmark needs distinct ids.
-    """
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionAll(more)
-    words = F.expr(
-        "aggregate(flatten(transform(places, p -> flatten(transform(arrays_zip(p.starts, p.ends),"
-        " z -> sequence(z.starts, z.ends - 1))))), cast(array() as array<bigint>),"
-        " (a, x) -> array_append(a, x), a -> array_sort(array_distinct(a)))"
-    )
-    return (
-        union.groupBy("doc_id", "n_words")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.collect_list(F.struct("starts", "ends")).alias("places"),
-        )
-        .withColumn("hit", words)
-        .withColumn("starts", F.expr("filter(hit, x -> not array_contains(hit, x - 1))"))
-        .withColumn(
-            "ends",
-            F.expr("transform(filter(hit, x -> not array_contains(hit, x + 1)), x -> x + 1)"),
-        )
-        .withColumn("n_hit", F.size("hit").cast("long"))
-        .select("doc_id", "n_words", "n_hit", "items", "starts", "ends")
+def _merged(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per row of `rows` from searches of several parts; `found` has row numbers as doc_id."""
+    grouped = found.groupBy("doc_id").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.collect_list(F.struct("starts", "ends")).alias("places"),
     )
+    merged = grouped.mapInArrow(_united, HITS).withColumnRenamed("doc_id", "row")
+    return rows.select("row", "doc_id").join(merged, "row").drop("row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

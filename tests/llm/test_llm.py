@@ -55,6 +55,22 @@ def _by_id(df):
     return {row["doc_id"]: row for row in df.collect()}
 
 
+def test_parts_of_the_benchmark_judge_each_row(spark, monkeypatch):
+    texts = ["one two three four", "five one two", "two three x five one", None, "nothing", "one two three four"]
+    rows = [(k // 3 if k < 6 else None, t) for k, t in enumerate(texts + texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, "one two three"), (2, "three four"), (3, "five one"), (4, "two three x"), (None, "x five"), (5, "five one")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+
+    def found():
+        return [sorted(map(repr, f(docs, benchmark, 2).collect())) for f in (decontaminate.benchmark_hits, decontaminate.contamination)]
+
+    whole = found()
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 10)
+    assert len(list(decontaminate._parts(benchmark))) > 3
+    assert found() == whole and len(whole[0]) == len(rows)
+
+
 def test_near_groups(docs):
     sets = {}
     for doc, text, *_ in ROWS:
