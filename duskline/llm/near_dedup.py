@@ -17,6 +17,8 @@ estimate below 0.5 with 96 registers has a probability of about 1e-7.
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; rows
 that repeat a doc_id share a component with each other's links; a row without doc_id takes the
 component of an equal set, or null, and is kept only in the latter case; other columns are ignored.
+`drop_near_copies` links and drops single rows instead, by numbers of its own: of each component it
+keeps one row, that of the smallest doc_id, and one without doc_id only where no other row has one.
 """
 
 from __future__ import annotations
@@ -237,6 +239,12 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of `docs`, all columns as they are, without near copies of a smaller doc_id."""
-    gone = near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """One row of each component of near copies, all columns as they are."""
+    rows = settled(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = near_groups(rows.select(F.col("__row").alias("doc_id"), "text"), percent)
+    groups = groups.select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select("__row", F.col("doc_id").cast("long").alias("__id"))
+    # Null ids come last; rows of one id go by their numbers.
+    least = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row"))
+    kept = ids.join(groups, "__row").groupBy("component_id").agg(least.alias("first")).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

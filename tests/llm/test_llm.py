@@ -95,6 +95,31 @@ def test_near_groups(docs):
     assert kept.columns == docs.columns and kept.count() == sum(root(d) == d for d in sets)
 
 
+def test_near_copies_without_ids(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(5)]
+    rows = [(None, base[0] + " more"), (7, base[0]), (3, base[0] + " else"), (None, base[1]), (None, base[1]), (None, base[1] + " end")]
+    rows += [(4, base[2]), (4, base[2]), (4, base[3]), (9, base[3]), (None, None), (None, ""), (5, base[4])]
+    sets = []
+    for _, text in rows:
+        words = (text or "").split()
+        sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    members = defaultdict(list)
+    for k, g in enumerate(group):
+        members[g].append(k)
+    firsts = {g: min((rows[k][0] is None, rows[k][0] or 0) for k in own) for g, own in members.items()}
+    kept = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {text: group[k] for k, (_, text) in enumerate(rows)}
+    found = [(of[r.text], (r.doc_id is None, r.doc_id or 0)) for r in kept]
+    assert sorted(found) == sorted(firsts.items()) and len(kept) == len(members) == 7
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 101), (101, 101)]
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
