@@ -1,4 +1,6 @@
-"""Removal of repeated byte strings by suffix order and longest previous factors.
+"""Removal of repeated byte strings by anchors and sorted windows of fixed length.
+
+No suffix array is built: whether a longest previous factor reaches `length` is all that is asked.
 
 Every byte covered by a `length`-byte string that also starts in a document with a smaller doc_id
 goes. Documents are packed into chunks of about CHUNK_BYTES. Each string of a chunk has an anchor,
@@ -7,9 +9,8 @@ that follow each other and share one anchor form a piece.
 
 1. Anchors of all chunks meet by hash, as sorted lists, to find those of two documents or more.
 2. Pieces of such anchors meet by hash, once per chunk, with the smallest doc_id that has them.
-3. There the pieces are laid out by doc_id and their suffixes sorted to the depth of `length`.
-   Where the previous smaller position in suffix order agrees to that depth, the longest previous
-   factor is long enough, and the first position of such a run belongs to the smallest doc_id.
+3. There the pieces are laid out by doc_id and their windows of `length` bytes sorted, ties by
+   position. The first position of a run of equal windows belongs to the smallest doc_id.
 4. Each chunk takes these answers and covers its bytes.
 
 A task of steps 1 to 3 sees one part of all hash values; their number follows from the bytes of the
@@ -254,9 +255,8 @@ def _chunk_group(table: pa.Table):
 def earliest(text: np.ndarray, first: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """The smallest id that has each string of `length` bytes of the pieces, piece by piece.
 
-    Pieces are laid out by id, so that a smaller position never has a larger id. Suffixes are
-    sorted to `length` bytes, ties by position: the previous entry of a tie is then the previous
-    smaller position, at which the longest previous factor reaches `length`.
+    Pieces are laid out by id, so that a smaller position never has a larger id. Their windows of
+    `length` bytes are sorted, ties by position, so that a run of equal ones starts at the smallest id.
     """
     order = np.argsort(ids, kind="stable")
     counts = sizes[order] - length + 1
