@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     decontaminate,
     fingerprints,
+    hard_negatives,
     licenses,
     main_text,
     near_dedup,
     packing,
     quality,
+    sharding,
     suffix_dedup,
     toxicity,
     warc,
@@ -74,6 +78,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), shared_folder(spark))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def piece_model(path: str | None = None) -> bytes:
+    """The model file of the word-piece tokenizer."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"), *tokenizer_files(), piece_model())
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_main_text": op2_main_text,
@@ -85,4 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_sharding": op12_sharding,
+    "op13_alignment": op13_alignment,
 }
