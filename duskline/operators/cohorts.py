@@ -14,7 +14,15 @@ from duskline.sources.sinks import settle
 
 
 def _in_month(arrivals: DataFrame, month: dt.date | str | None) -> Column:
-    """Dates of one month: the one given by any of its days, or that of the latest date."""
+    """Dates of one month: the one given by any of its days, or that of the latest date.
+
+    Where arrivals are stored by month, the condition is on that partition column, so the files
+    of other months are not read.
+    """
+    if "yyyymm" in arrivals.columns:
+        if month is None:
+            return F.col("yyyymm") == arrivals.agg(F.max("yyyymm")).scalar()
+        return F.col("yyyymm") == dt.date.fromisoformat(str(month)).strftime("%Y%m")
     if month is None:
         start = arrivals.agg(F.trunc(F.max("nav_date"), "month").alias("start")).scalar()
         return F.trunc("nav_date", "month") == start
@@ -82,19 +90,38 @@ def entity_map(
     return arrivals.select(*columns).distinct()
 
 
-def dedupe_arrivals(arrivals: DataFrame, *, client: str = "client_name") -> DataFrame:
+def dedupe_arrivals(
+    arrivals: DataFrame, *, client: str = "client_name", by: Sequence[str] = ()
+) -> DataFrame:
     """One row per fund, date and time; the lowest client stays.
 
     A minimum of names makes Spark sort the rows. Clients numbered in name order give the
     same answer by hashing, in about half the time: ``client="client_identifier"``.
     """
     return (
-        arrivals.groupBy("fund_id", "nav_date", "sec")
+        arrivals.groupBy(*by, "fund_id", "nav_date", "sec")
         .agg(F.min(client).alias(client))
-        .select(client, "fund_id", "nav_date", "sec")
+        .select(*by, client, "fund_id", "nav_date", "sec")
     )
 
 
+def numbered_clients(arrivals: DataFrame, names: DataFrame) -> DataFrame:
+    """Arrivals with ``client_identifier`` in place of the name; all rows stay.
+
+    ``names`` are the numbers in name order that ``client_keys`` gives, so the lowest number is
+    the lowest name, and minima of clients combine by hashing.
+    """
+    known = names.select("client_name", "client_identifier")
+    return lookup_join(arrivals, known, ["client_name"], "left").drop("client_name")
+
+
+def named_clients(df: DataFrame, names: DataFrame) -> DataFrame:
+    """The names again, in place of ``client_identifier``."""
+    known = names.select("client_identifier", "client_name")
+    columns = ["client_name" if name == "client_identifier" else name for name in df.columns]
+    return df.join(known, "client_identifier", "left").select(*columns)
+
+
 def arrival_counts(
     arrivals: DataFrame, keys: Sequence[str] = ("client_name", "fund_id", "nav_date", "sec")
 ) -> DataFrame:
@@ -134,6 +161,22 @@ def client_keys(arrivals: DataFrame) -> DataFrame:
     )
 
 
+def merge_client_keys(clients: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """A stored client dimension with the names that are new in ``arrivals``.
+
+    Numbers once given stay; new names follow from the largest, in name order. Names are told
+    apart before they are sorted, so only the new ones are numbered.
+    """
+    lowest = F.min("client_identifier").alias("client_identifier")
+    known = clients.groupBy("client_name").agg(lowest).select("client_identifier", "client_name")
+    new = client_keys(
+        arrivals.select("client_name").distinct().join(known, "client_name", "left_anti")
+    )
+    largest = known.agg(F.coalesce(F.max("client_identifier"), F.lit(0))).scalar()
+    moved = (F.col("client_identifier") + largest).cast("int").alias("client_identifier")
+    return known.unionByName(new.select(moved, "client_name"))
+
+
 def client_dimension(clients: DataFrame) -> DataFrame:
     """Distinct named clients; the text ``NULL`` is no name."""
     return (

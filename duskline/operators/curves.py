@@ -14,64 +14,73 @@ from duskline.sources.sinks import settle
 
 
 def volume_curve_5min(
-    profile: DataFrame, time_columns: Sequence[str], *, edge: str = "keep"
+    profile: DataFrame,
+    time_columns: Sequence[str],
+    *,
+    edge: str = "keep",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """For each time column the cumulative number of entities per five-minute bin.
 
-    37 rows, 16:00:00 to 19:00:00. ``edge="zero"`` empties the first and the last bin first.
+    37 rows, 16:00:00 to 19:00:00, for each value of ``by``. ``edge="zero"`` empties the first
+    and the last bin first.
     """
     if edge not in ("keep", "zero"):
         raise ValueError(f"edge is 'keep' or 'zero', not {edge!r}")
-    long = profile.select(*time_columns).unpivot([], list(time_columns), "metric", "sec")
-    slots = long.select("metric", F.when(in_window("sec"), bin_index("sec")).alias("bin"))
-    counts = dense_counts(slots, ["metric"], "bin", c.BIN_COUNT)
+    long = profile.select(*by, *time_columns).unpivot(
+        list(by), list(time_columns), "metric", "sec"
+    )
+    slots = long.select(*by, "metric", F.when(in_window("sec"), bin_index("sec")).alias("bin"))
+    counts = dense_counts(slots, [*by, "metric"], "bin", c.BIN_COUNT)
     if edge == "zero":
         inner = F.col("bin").between(2, c.BIN_COUNT - 1)
         counts = counts.withColumn("n", F.when(inner, F.col("n")).otherwise(0))
-    running = Window.partitionBy("metric").orderBy("bin")
+    running = Window.partitionBy(*by, "metric").orderBy("bin")
     curve = counts.withColumn(
         "volume",
         F.sum("n").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     )
-    wide = curve.groupBy("bin").pivot("metric", list(time_columns)).agg(F.max("volume"))
+    wide = curve.groupBy(*by, "bin").pivot("metric", list(time_columns)).agg(F.max("volume"))
     start = (F.col("bin") - 1) * c.BIN_SECONDS + c.WINDOW_OPEN
     return wide.select(
+        *by,
         clock_text(start).alias("time"),
         *[F.coalesce(F.col(name), F.lit(0)).alias(f"volume_{name}") for name in time_columns],
     )
 
 
-def volume_curve_1min(profile: DataFrame, late_column: str) -> DataFrame:
+def volume_curve_1min(
+    profile: DataFrame, late_column: str, *, by: Sequence[str] = ()
+) -> DataFrame:
     """Per client and minute the cumulative number of funds by predicted and by late time.
 
     Times are rounded up to the minute; those off the axis are not counted.
     """
-    measures = ["predicted_time", late_column]
-    long = profile.select("client_name", *measures).unpivot(
-        ["client_name"], measures, "metric", "sec"
-    )
+    measures, client = ["predicted_time", late_column], [*by, "client_name"]
+    long = profile.select(*client, *measures).unpivot(client, measures, "metric", "sec")
     counts = (
-        long.select("client_name", "metric", minute_slot("sec").alias("slot"))
-        .groupBy("client_name", "slot")
+        long.select(*client, "metric", minute_slot("sec").alias("slot"))
+        .groupBy(*client, "slot")
         .agg(*[F.count_if(F.col("metric") == name).alias(name) for name in measures])
     )
-    dense = dense_measures(counts, ["client_name"], "slot", c.MINUTE_COUNT, measures)
+    dense = dense_measures(counts, client, "slot", c.MINUTE_COUNT, measures)
     running = (
-        Window.partitionBy("client_name")
+        Window.partitionBy(*client)
         .orderBy("slot")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return dense.select(
-        "client_name",
+        *client,
         clock_text(F.col("slot") * 60 + c.WINDOW_OPEN).alias("time"),
         *[F.sum(name).over(running).alias(f"volume_{name}") for name in measures],
     )
 
 
-def volume_totals(curve: DataFrame) -> DataFrame:
+def volume_totals(curve: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """The client curves added up per time, in time order."""
     volumes = [name for name in curve.columns if name.startswith("volume_")]
-    return curve.groupBy("time").agg(*[F.sum(name).alias(name) for name in volumes]).orderBy("time")
+    totals = curve.groupBy(*by, "time").agg(*[F.sum(name).alias(name) for name in volumes])
+    return totals.orderBy(*by, "time")
 
 
 def curve_ends(curve: DataFrame, rows: int = 10) -> DataFrame:

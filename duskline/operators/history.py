@@ -32,6 +32,11 @@ def bin_history(
         entity, "nav_date", bin_index("sec", fold_out_of_range=fold_out_of_range).alias("bin")
     )
     counts = dense_counts(binned, [entity, "nav_date"], "bin", c.BIN_COUNT)
+    return running_history(counts, entity=entity)
+
+
+def running_history(counts: DataFrame, *, entity: str = "client_name") -> DataFrame:
+    """Dense counts per entity, date and bin with their running total and its share of the day."""
     day = Window.partitionBy(entity, "nav_date")
     running = day.orderBy("bin").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     share = F.try_divide(F.col("cumsum"), F.max("cumsum").over(day))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from duskline import constants as c
 from duskline.functions.percentiles import fence_columns, linear
 from duskline.operators.joins import lookup_join
-from duskline.operators.skew import weighted_rows
+from duskline.operators.skew import weight_of, weighted_rows
 
 
 class Split(NamedTuple):
@@ -92,4 +92,23 @@ def outlier_counts(
 
 def outlier_times(outliers: DataFrame, value: str = "sec") -> DataFrame:
     """Outliers per arrival time."""
-    return outliers.groupBy("nav_date", value).agg(F.count(F.lit(1)).alias("outlier_count"))
+    return outliers.groupBy("nav_date", value).agg(
+        F.sum(weight_of(outliers)).alias("outlier_count")
+    )
+
+
+def history_outliers(
+    history: DataFrame, keys: Sequence[str], value: str = "sec", k: float = c.OUTLIER_FENCE
+) -> DataFrame:
+    """The outliers of a counted history, with their numbers.
+
+    Fences come from a window over the keys, with each row weighing as many arrivals as it
+    stands for; where the history is laid out by the keys, nothing is shuffled or joined.
+    """
+    points = linear(value, [25, 75], weight_of(history)).over(Window.partitionBy(*keys))
+    low, high = fence_columns(F.col("_points"), k)
+    return (
+        history.withColumn("_points", points)
+        .where((F.col(value) < low) | (F.col(value) > high))
+        .drop("_points")
+    )

@@ -19,7 +19,7 @@ from duskline.functions.percentiles import (
     within_fences,
 )
 from duskline.operators.cohorts import dedupe_arrivals
-from duskline.operators.skew import weighted_rows
+from duskline.operators.skew import weight_of, weighted_rows
 
 
 STATS = ["total_days", "miss_days", "max_time_before_cutoff", "max_time"]
@@ -29,7 +29,7 @@ def _history_stats(arrivals: DataFrame, keys: Sequence[str], cutoff: int) -> Dat
     """The first step reduces to one row per key and date and combines on the map side; the
     second then counts rows, with no distinct count and no joins."""
     daily = arrivals.groupBy(*keys, "nav_date").agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(weight_of(arrivals)).alias("n_rows"),
         F.max("sec").alias("latest"),
         F.max(F.when(before_cutoff("sec", cutoff), F.col("sec"))).alias("latest_before"),
     )
@@ -43,10 +43,23 @@ def _history_stats(arrivals: DataFrame, keys: Sequence[str], cutoff: int) -> Dat
 
 
 def sla_stats(
-    arrivals: DataFrame, *, entity: str = "fund_id", cutoff: int = c.CUTOFF
+    arrivals: DataFrame,
+    *,
+    entity: str = "fund_id",
+    cutoff: int = c.CUTOFF,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Days, days with an arrival after the cut-off, latest arrival before it, latest arrival."""
-    return _history_stats(arrivals, [entity], cutoff).select(entity, *STATS)
+    return _history_stats(arrivals, [*by, entity], cutoff).select(*by, entity, *STATS)
+
+
+def _of_cohort(rows: DataFrame, stats: DataFrame, entity: Sequence[str]) -> DataFrame:
+    """The rows of the entities in ``stats``, with their statistics.
+
+    The other cohort goes before any percentile is made. Statistics ride along as grouping
+    columns, so nothing is joined afterwards.
+    """
+    return rows.join(stats, list(entity))
 
 
 def arrival_profile_short(
@@ -55,12 +68,18 @@ def arrival_profile_short(
     client: str = "client_name",
     max_short: int = c.SHORT_HISTORY_DAYS,
     cutoff: int = c.CUTOFF,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Funds with a short history: 1% and 50% points and cut-off statistics."""
-    stats = sla_stats(arrivals, cutoff=cutoff).where(F.col("total_days") <= max_short)
-    pair = [client, "fund_id"]
-    points = linear_profile(dedupe_arrivals(arrivals, client=client), pair, c.SHORT_RANKS)
-    return points.join(stats, "fund_id").select(*pair, *c.SHORT_RANKS, *STATS)
+    """Funds with a short history: 1% and 50% points and cut-off statistics.
+
+    Takes arrivals or a counted history; ``by`` are further keys, such as the feed.
+    """
+    fund = [*by, "fund_id"]
+    stats = sla_stats(arrivals, cutoff=cutoff, by=by).where(F.col("total_days") <= max_short)
+    rows = _of_cohort(dedupe_arrivals(arrivals, client=client, by=by), stats, fund)
+    keys = [*by, client, "fund_id"]
+    points = linear_profile(rows, [*keys, *STATS], c.SHORT_RANKS)
+    return points.select(*keys, *c.SHORT_RANKS, *STATS)
 
 
 def arrival_profile_long(
@@ -70,16 +89,20 @@ def arrival_profile_long(
     max_short: int = c.SHORT_HISTORY_DAYS,
     cutoff: int = c.CUTOFF,
     k: float = c.OUTLIER_FENCE,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Funds with a long history: eleven quantiles without outliers, cut-off statistics and
-    the alert time, five minutes ahead of the latest arrival before the cut-off."""
-    long = F.col("total_days") > max_short
-    stats = _history_stats(arrivals, ["fund_id"], cutoff).where(long)
-    pair = [client, "fund_id"]
-    rows = weighted_rows(dedupe_arrivals(arrivals, client=client), pair)
-    points = linear_profile(within_fences(rows, pair, k), pair, c.LONG_RANKS, weight=F.col("n"))
-    return points.join(stats, "fund_id").select(
-        *pair,
+    the alert time, five minutes ahead of the latest arrival before the cut-off.
+
+    Takes arrivals or a counted history; ``by`` are further keys, such as the feed.
+    """
+    fund, keys = [*by, "fund_id"], [*by, client, "fund_id"]
+    stats = sla_stats(arrivals, cutoff=cutoff, by=by).where(F.col("total_days") > max_short)
+    rows = weighted_rows(dedupe_arrivals(arrivals, client=client, by=by), keys)
+    inliers = within_fences(_of_cohort(rows, stats, fund), keys, k)
+    points = linear_profile(inliers, [*keys, *STATS], c.LONG_RANKS, weight=F.col("n"))
+    return points.select(
+        *keys,
         *c.LONG_RANKS,
         *STATS,
         (F.col("max_time_before_cutoff") - c.CUTOFF_ALERT_LEAD).alias("alert_time"),
@@ -90,46 +113,55 @@ def ticker_profile(
     arrivals: DataFrame,
     entities: DataFrame,
     *,
+    client: str = "client_name",
     max_short: int = c.SHORT_HISTORY_DAYS,
     cutoff: int = c.CUTOFF,
     k: float = c.OUTLIER_FENCE,
 ) -> DataFrame:
     """Tickers with a long history: nearest-rank quantiles and the median without outliers,
-    the alert time two minutes ahead of the 99% point, and the clients and funds served."""
+    the alert time two minutes ahead of the 99% point, and the clients and funds served.
+
+    Takes arrivals or a counted history.
+    """
     ranks = {name: rank for name, rank in c.LONG_RANKS.items() if name != "predicted_time"}
     median = whole_seconds(linear("sec", [50], F.col("n"))[0]).alias("predicted_time")
-    long = F.col("total_days") > max_short
-    stats = _history_stats(arrivals, ["ticker"], cutoff).where(long)
-    rows = weighted_rows(arrivals, ["ticker"])
+    held = ["total_days", "miss_days", "max_time"]
+    stats = _history_stats(arrivals, ["ticker"], cutoff).where(F.col("total_days") > max_short)
+    rows = _of_cohort(weighted_rows(arrivals, ["ticker"]), stats.select("ticker", *held), ["ticker"])
     inliers = within_fences(rows, ["ticker"], k)
-    points = nearest_profile(inliers, ["ticker"], ranks, "sec", median)
-    return (
-        points.join(stats.drop("max_time_before_cutoff"), "ticker")
-        .join(entities, "ticker")
-        .select(
-            "client_name",
-            "fund_id",
-            "ticker",
-            *c.LONG_RANKS,
-            (F.col("quantile99") - c.LATEST_ALERT_LEAD).alias("alert_time"),
-            "total_days",
-            "miss_days",
-            "max_time",
-        )
+    kept = [F.max(name).alias(name) for name in held]
+    points = nearest_profile(inliers, ["ticker"], ranks, "sec", median, *kept)
+    return points.join(entities, "ticker").select(
+        client,
+        "fund_id",
+        "ticker",
+        *c.LONG_RANKS,
+        (F.col("quantile99") - c.LATEST_ALERT_LEAD).alias("alert_time"),
+        *held,
     )
 
 
 def ticker_profile_short(
     arrivals: DataFrame,
     *,
+    client: str = "client_name",
     max_short: int = c.SHORT_HISTORY_DAYS,
     cutoff: int = c.CUTOFF,
 ) -> DataFrame:
-    """Tickers with a short history, per client and fund: 1% and 50% points and statistics."""
-    keys = ["client_name", "fund_id", "ticker"]
+    """Tickers with a short history, per client and fund: 1% and 50% points and statistics.
+
+    Takes arrivals or a counted history.
+    """
+    keys = [client, "fund_id", "ticker"]
     stats = _history_stats(arrivals, keys, cutoff).where(F.col("total_days") <= max_short)
-    points = linear_profile(arrivals, keys, c.SHORT_RANKS)
-    return points.join(stats, keys).select(*keys, *c.SHORT_RANKS, *STATS)
+    rows = weighted_rows(arrivals, keys)
+    points = linear_profile(
+        _of_cohort(rows, stats.select(*keys, *STATS), keys),
+        [*keys, *STATS],
+        c.SHORT_RANKS,
+        weight=F.col("n"),
+    )
+    return points.select(*keys, *c.SHORT_RANKS, *STATS)
 
 
 TIME_COLUMNS = [*c.LONG_RANKS, "max_time_before_cutoff", "max_time", "alert_time"]

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 SPREAD = 64
 
 
-def keep_latest(profile: DataFrame, entity: str, time: str = "predicted_time") -> DataFrame:
+def keep_latest(
+    profile: DataFrame,
+    entity: str,
+    time: str = "predicted_time",
+    *,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """Rows holding the latest time of their entity, ties kept.
 
     Each entity is first cut into parts by a hash of its rows, and only the rows leading
@@ -19,11 +25,11 @@ def keep_latest(profile: DataFrame, entity: str, time: str = "predicted_time") -
     part = F.pmod(F.xxhash64(*profile.columns), F.lit(SPREAD))
     leading = (
         profile.withColumn("_part", part)
-        .withColumn("_top", F.max(time).over(Window.partitionBy(entity, "_part")))
+        .withColumn("_top", F.max(time).over(Window.partitionBy(*by, entity, "_part")))
         .where(F.col(time) == F.col("_top"))
     )
     return (
-        leading.withColumn("_top", F.max(time).over(Window.partitionBy(entity)))
+        leading.withColumn("_top", F.max(time).over(Window.partitionBy(*by, entity)))
         .where(F.col(time) == F.col("_top"))
         .drop("_top", "_part")
     )
@@ -66,13 +72,15 @@ def funds_to_clients(funds: DataFrame) -> DataFrame:
     )
 
 
-def one_row_per(profile: DataFrame, key: str, order: str = "fund_id") -> DataFrame:
+def one_row_per(
+    profile: DataFrame, key: str, order: str = "fund_id", *, by: Sequence[str] = ()
+) -> DataFrame:
     """The row with the lowest ``order`` for each key, ties settled by the other columns.
 
     A minimum over whole rows, so it combines on the map side.
     """
     ranked = [order, *[name for name in profile.columns if name != order]]
-    first = profile.groupBy(key).agg(F.min(F.struct(*ranked)).alias("_row"))
+    first = profile.groupBy(*by, key).agg(F.min(F.struct(*ranked)).alias("_row"))
     return first.select("_row.*").select(*profile.columns)
 
 
@@ -82,13 +90,14 @@ def fund_rollup(
     dedupe: str = "time",
     drop: Sequence[str] = ("fund_id", "total_days", "miss_days"),
     rename: Mapping[str, str] | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """For feeds without tickers: the latest rows of each fund, reduced to one row per
     predicted time (``dedupe="time"``) or per fund (``dedupe="fund"``), without ids."""
     keys = {"time": "predicted_time", "fund": "fund_id"}
     if dedupe not in keys:
         raise ValueError(f"dedupe is 'time' or 'fund', not {dedupe!r}")
-    rows = one_row_per(keep_latest(profile, "fund_id"), keys[dedupe])
+    rows = one_row_per(keep_latest(profile, "fund_id", by=by), keys[dedupe], by=by)
     return rows.drop(*drop).distinct().withColumnsRenamed(dict(rename or {}))
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def weight_of(df: DataFrame) -> Column:
+    """How many arrivals a row stands for: its ``n``, or one where the table has no such column."""
+    return F.col("n") if "n" in df.columns else F.lit(1).cast("long")
+
+
 def weighted_rows(df: DataFrame, keys: Sequence[str], values: Sequence[str] = ("sec",)) -> DataFrame:
     """Keys, values and a weight ``n``; summing the weights counts the rows.
 
@@ -16,8 +21,8 @@ def weighted_rows(df: DataFrame, keys: Sequence[str], values: Sequence[str] = ("
     per key, however many there were. Rows with a null key or value are left out.
     """
     columns = [*keys, *values]
-    rows = df.select(*columns).na.drop("any")
-    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(*columns, weight_of(df).alias("n")).na.drop("any", subset=columns)
+    return rows.groupBy(*columns).agg(F.sum("n").alias("n"))
 
 
 def row_salt(df: DataFrame, keys: Sequence[str], salts: int) -> Column:

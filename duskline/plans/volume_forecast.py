@@ -8,7 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from duskline.operators.alerts import alert_summary, with_alerts
-from duskline.operators.cohorts import active_cohort, client_keys, with_client_identifier
+from duskline.operators.cohorts import (
+    active_cohort,
+    client_keys,
+    merge_client_keys,
+    with_client_identifier,
+)
 from duskline.operators.forecast import (
     bin_forecast,
     end_of_day_volume,
@@ -29,11 +34,15 @@ def train_volume_forecast(
     folder: str,
     *,
     clients: DataFrame | None = None,
+    merge_clients: bool = False,
     active_month: dt.date | str | None = None,
     always_include: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
     """Normalised arrivals in, published tables out.
 
+    ``clients`` is a stored client dimension; arrivals of clients that it lacks are left out, or
+    with ``merge_clients`` get numbers after the largest, and the merged dimension is published.
+
     The arrivals are scanned for the clients, for the active funds, and once for the bin
     history. All else is made from the history as written.
     """
@@ -46,6 +55,8 @@ def train_volume_forecast(
 
     if clients is None:
         clients = publish("clients", client_keys(arrivals))
+    elif merge_clients:
+        clients = publish("clients", merge_client_keys(clients, arrivals))
     kept = active_cohort(arrivals, month=active_month, always_include=always_include)
     known = with_client_identifier(kept, clients)
     history = publish("bin_history", bin_history(known, entity=KEY))

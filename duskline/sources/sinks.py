@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +54,42 @@ def overwrite_months(df: DataFrame, path: str, column: str = "yyyymm") -> None:
     )
 
 
-def overwrite_month(df: DataFrame, path: str, month: str, column: str = "yyyymm") -> str:
-    """Replace one month by ``df``, also when ``df`` is empty; the folder written."""
+def overwrite_month(
+    df: DataFrame, path: str, month: str, column: str = "yyyymm", parts: Sequence[str] = ()
+) -> str:
+    """Replace one month by ``df``, also when ``df`` is empty; the folder written.
+
+    ``parts`` are further partition columns within the month.
+    """
     folder = f"{path}/{column}={month}"
-    df.write.mode("overwrite").parquet(folder)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*parts) if parts else writer).parquet(folder)
     return folder
 
 
+def publish_keyed(df: DataFrame, path: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Write in buckets of one key and return the table that knows of them.
+
+    Rows are shuffled once, by the key. What then groups by the key, alone or with others, or
+    joins two such tables on it, needs no further shuffle. The files can be read by their path
+    as well; the name in the catalog, made from the path, only carries the layout.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"duskline_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    (
+        df.repartition(count, key)
+        .write.mode("overwrite")
+        .format("parquet")
+        .option("path", path)
+        .bucketBy(count, key)
+        .sortBy(key)
+        .saveAsTable(name)
+    )
+    return spark.table(name)
+
+
 def overwrite_table_months(df: DataFrame, table: str, column: str = "yyyymm") -> None:
     """As ``overwrite_months`` for a catalog table; it is created when missing."""
     spark = df.sparkSession
@@ -72,6 +104,23 @@ def overwrite_table_months(df: DataFrame, table: str, column: str = "yyyymm") ->
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
 
 
+def publish_arrivals(df: DataFrame, path: str, *, by_day: bool = False) -> None:
+    """Write arrivals by month of their date, or by month and day; months found are replaced.
+
+    Rows are brought together by date in parts of like size, large days in several.
+    """
+    parts = ["yyyymm", "nav_date"] if by_day else ["yyyymm"]
+    dated = df.withColumn("yyyymm", F.date_format("nav_date", "yyyyMM"))
+    (
+        dated.hint("rebalance", *parts)
+        .sortWithinPartitions(*parts, "nav_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*parts)
+        .parquet(path)
+    )
+
+
 def publish_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a report as parquet, or as CSV with a header for people."""
     options = {"header": True} if fmt == "csv" else {}

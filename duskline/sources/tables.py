@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from duskline import constants as c
 from duskline.functions.clock import bin_label, clock_text
@@ -32,6 +33,29 @@ def read_partition(df: DataFrame, value: Column | str, column: str = "yyyymm") -
     return df.where(F.col(column) == value)
 
 
+def read_arrivals(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str,
+    first: dt.date | str | None = None,
+    last: dt.date | str | None = None,
+) -> DataFrame:
+    """Arrivals stored by month, between two dates; files of other months are not read.
+
+    ``schema`` is that of the arrivals; the month is a column ``yyyymm`` besides.
+    """
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = [f for f in kind.fields if f.name != "yyyymm"]
+    rows = spark.read.schema(StructType([*fields, StructField("yyyymm", StringType())])).parquet(path)
+    for bound, low in ((first, True), (last, False)):
+        if bound is not None:
+            day = dt.date.fromisoformat(str(bound))
+            month = F.lit(day.strftime("%Y%m"))
+            rows = rows.where(F.col("yyyymm") >= month if low else F.col("yyyymm") <= month)
+            rows = rows.where(F.col("nav_date") >= F.lit(day) if low else F.col("nav_date") <= F.lit(day))
+    return rows
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
 

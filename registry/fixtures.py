@@ -67,3 +67,29 @@ def as_text(arrivals: DataFrame) -> DataFrame:
         ),
         F.date_format("nav_date", "yyyyMMdd").alias("date_identifier"),
     )
+
+
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As sparse, with funds that no profile can hold.
+
+    Some always come at one second, some are also delivered by a client who comes later in the
+    alphabet, and some have no client.
+    """
+    fund = F.col("fund_id").cast("int")
+    rows = sparse(spark, sf_dir).withColumns(
+        {
+            "sec": F.when(fund % 7 == 0, 60000).otherwise(F.col("sec")),
+            "client_name": F.when(fund % 13 != 0, F.col("client_name")),
+        }
+    )
+    again = rows.where(fund % 11 == 0).withColumn("client_name", F.lit("ZZ"))
+    return rows.unionByName(again)
+
+
+def two_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense and the skewed table as two feeds that share their funds."""
+    return (
+        dense(spark, sf_dir)
+        .withColumn("feed", F.lit("even"))
+        .unionByName(skewed(spark, sf_dir).withColumn("feed", F.lit("skewed")))
+    )

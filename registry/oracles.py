@@ -272,6 +272,55 @@ SIGNED = f"""round((avg(diff_sec) FILTER (WHERE diff_sec < 0)) / 86400, 9) AS ne
     count(*) FILTER (WHERE diff_sec >= 0) AS positive_count, {mae()} AS mae"""
 
 
+FUND_RESIDUALS = [
+    SKEWED,
+    *long_profile("skewed"),
+    zones("skewed", "fund_id", 3.0),
+    """found AS (SELECT DISTINCT fund_id, nav_date, sec FROM zones WHERE zone = 'outlier')""",
+    """residuals AS (
+    SELECT s.fund_id, s.nav_date, s.sec,
+        CASE WHEN f.sec IS NULL THEN 'NotOutlier' ELSE 'Outlier' END AS outlier,
+        l.client_name, quantile01, predicted_time, alert_time, quantile99,
+        predicted_time - s.sec AS diff_sec, (predicted_time - s.sec) / 86400.0::DOUBLE AS diff_day
+    FROM skewed s LEFT JOIN found f
+        ON s.fund_id = f.fund_id AND s.nav_date = f.nav_date AND s.sec = f.sec
+    LEFT JOIN long l ON s.fund_id = l.fund_id)""",
+    "once AS (SELECT DISTINCT * FROM residuals)",
+]
+
+UNEVEN = """changed AS (
+    SELECT CASE WHEN CAST(fund_id AS INTEGER) % 13 <> 0 THEN client_name END AS client_name, fund_id,
+        ticker, nav_date, CASE WHEN CAST(fund_id AS INTEGER) % 7 = 0 THEN 60000 ELSE sec END AS sec
+    FROM sparse),
+uneven AS (
+    SELECT * FROM changed UNION ALL
+    SELECT 'ZZ' AS client_name, fund_id, ticker, nav_date, sec FROM changed
+    WHERE CAST(fund_id AS INTEGER) % 11 = 0)"""
+
+SHORT_FUND_TIMES = {
+    "fund_min_time": "quantile01",
+    "predicted_time": "predicted_time",
+    "max_time_before_cutoff": "max_time_before_cutoff",
+    "fund_max_time": "max_time",
+}
+
+
+def feed_profile(name: str, definition: str, source: str, body: str) -> str:
+    return f"SELECT '{name}' AS feed, * FROM ({with_(body, definition, *long_profile(source))})"
+
+
+def bin_counts(source: str, columns: dict[str, str]) -> str:
+    """Cumulative counts per five-minute bin for each named column."""
+    volumes = ", ".join(
+        f"(SELECT count(*) FROM {source} WHERE {old} BETWEEN 57600 AND 68400"
+        f" AND ({old} - 57600) // 300 + 1 <= bin) AS volume_{new}"
+        for new, old in columns.items()
+    )
+    start = "(57600 + 300 * (bin - 1))"
+    axis = "(SELECT CAST(unnest(range(1, 38)) AS INTEGER) AS bin)"
+    return f"SELECT {clock(start)} AS time, {volumes} FROM {axis}"
+
+
 def weekday_times(point: str) -> str:
     names = ["monday", "tuesday", "wednesday", "thursday", "friday"]
     parts = [f"{clock(f'coalesce({point.format(filter="")}, 0)')} AS all_days"]
@@ -743,6 +792,118 @@ ORACLES: dict[str, str] = {
     USING (ticker)""",
         *RESIDUALS,
     ),
+    # Feeds without tickers
+    "fund_residuals": with_(
+        "SELECT * REPLACE (round(diff_day, 9) AS diff_day), count(*) AS n FROM residuals GROUP BY ALL",
+        *FUND_RESIDUALS,
+    ),
+    "fund_mae_overall": with_(
+        f"""SELECT {mae()} AS mae, {mae("outlier = 'NotOutlier'")} AS mae_inliers FROM residuals""",
+        *FUND_RESIDUALS,
+    ),
+    "fund_signed_errors": with_(
+        f"""SELECT k.client_name, e.* FROM (SELECT fund_id, {SIGNED} FROM once GROUP BY fund_id) e
+    LEFT JOIN (SELECT DISTINCT client_name, fund_id FROM skewed) k USING (fund_id)""",
+        *FUND_RESIDUALS,
+    ),
+    "fund_report": with_(
+        f"""SELECT DISTINCT fund_id, client_name, quantile01, predicted_time, alert_time,
+    quantile99, e.mae FROM once JOIN (SELECT fund_id, {mae()} AS mae FROM once GROUP BY fund_id) e
+    USING (fund_id)""",
+        *FUND_RESIDUALS,
+    ),
+    # The counted history
+    "profile_short_from_history": with_(
+        f"SELECT {shown(SHORT_COLUMNS, TIMES)} FROM short", SPARSE, *short_profile("sparse")
+    ),
+    "profile_long_from_history": with_(
+        f"SELECT {shown(LONG_COLUMNS, TIMES)} FROM long", SKEWED, *long_profile("skewed")
+    ),
+    "ticker_profile_from_history": with_(
+        f"SELECT {shown(TICKER_COLUMNS, TIMES)} FROM tickers", SKEWED, *ticker_profile("skewed")
+    ),
+    "ticker_profile_short_from_history": with_(
+        f"SELECT {shown(['ticker', *SHORT_COLUMNS], TIMES)} FROM short_tickers", *SHORT_TICKERS
+    ),
+    "outliers_from_history": with_(
+        """SELECT client_name, fund_id, ticker, nav_date, sec, count(*) AS n FROM zones
+    WHERE zone = 'outlier' GROUP BY ALL""",
+        SKEWED,
+        zones("skewed", "ticker", 3.0),
+    ),
+    "outlier_counts_from_history": with_(
+        "SELECT ticker, count(*) AS outlier_count FROM zones WHERE zone = 'outlier' GROUP BY ticker",
+        SKEWED,
+        zones("skewed", "ticker", 3.0),
+    ),
+    "sla_stats_from_history": with_("SELECT * FROM sla", SPARSE, sla("sparse")),
+    "profile_gaps": with_(
+        """SELECT p.client_name, p.fund_id, CASE WHEN p.client_name IS NULL THEN 'incomplete'
+        WHEN owned IS NULL THEN 'other_client' ELSE 'on_fences' END AS reason, total_days, n_arrivals
+    FROM (SELECT client_name, fund_id, count(*) AS n_arrivals FROM uneven GROUP BY ALL) p
+    JOIN sla USING (fund_id)
+    LEFT JOIN (SELECT client_name, fund_id, count(*) AS owned FROM uniq GROUP BY ALL) o
+        ON o.client_name = p.client_name AND o.fund_id = p.fund_id
+    LEFT JOIN (SELECT client_name, fund_id, count(*) AS inside FROM inliers GROUP BY ALL) i
+        ON i.client_name = p.client_name AND i.fund_id = p.fund_id
+    WHERE p.client_name IS NULL OR owned IS NULL OR (total_days > 5 AND inside IS NULL)""",
+        SPARSE,
+        UNEVEN,
+        *long_profile("uneven"),
+    ),
+    "profiles_by_feed": " UNION ALL ".join(
+        feed_profile(name, definition, source, f"SELECT {shown(LONG_COLUMNS, TIMES)} FROM long")
+        for name, definition, source in (("even", DENSE, "dense"), ("skewed", SKEWED, "skewed"))
+    ),
+    "volume_curve_by_feed": " UNION ALL ".join(
+        feed_profile(name, definition, source, five_minute_curve(1, 37))
+        for name, definition, source in (("even", DENSE, "dense"), ("skewed", SKEWED, "skewed"))
+    ),
+    "volume_curve_5min_funds_short": with_(
+        bin_counts("funds", SHORT_FUND_TIMES),
+        *SHORT_TICKERS,
+        FUNDS.replace("FROM tickers", "FROM short_tickers"),
+    ),
+    # History by the day
+    "history_increment": with_("SELECT * FROM history", DENSE, HISTORY),
+    "stats_increment": with_(
+        "SELECT sla.*, n_rows FROM sla JOIN (SELECT fund_id, count(*) AS n_rows FROM dense "
+        "GROUP BY fund_id) USING (fund_id)",
+        DENSE,
+        sla("dense"),
+    ),
+    # Deliveries and what is stored of them
+    "rejected_rows": with_(
+        f"""SELECT CASE WHEN NOT ({BAD_CLIENT}) THEN client_name END AS client_name,
+    ' ' || fund_id || ' ' AS fund_id,
+    CASE WHEN {BAD_DATE} THEN '2/30/2024' ELSE strftime(nav_date, '%-m/%-d/%Y') END AS nav_date,
+    CASE WHEN {BAD_TIME} THEN 'late' ELSE strftime(nav_date + to_seconds(sec), '%-m/%-d/%y %H:%M') END
+        AS datetime, strftime(nav_date, '%Y%m%d') AS date_identifier,
+    CASE WHEN {BAD_CLIENT} THEN 'incomplete' WHEN {BAD_DATE} THEN 'bad_date' ELSE 'bad_time' END
+        AS reason FROM dense WHERE {BAD_CLIENT} OR {BAD_DATE} OR {BAD_TIME}""",
+        DENSE,
+    ),
+    "observed_drops": with_(
+        f"""SELECT count(*) AS rows_read, count(*) FILTER (WHERE {BAD_CLIENT}) AS rows_incomplete,
+    count(*) FILTER (WHERE NOT ({BAD_CLIENT}) AND {BAD_DATE}) AS rows_bad_date,
+    count(*) FILTER (WHERE NOT ({BAD_CLIENT}) AND NOT ({BAD_DATE}) AND {BAD_TIME}) AS rows_bad_time,
+    count(*) FILTER (WHERE NOT ({BAD_CLIENT}) AND NOT ({BAD_DATE}) AND NOT ({BAD_TIME})) AS rows_kept
+    FROM dense""",
+        DENSE,
+    ),
+    "active_cohort_partitioned": with_(f"SELECT * FROM sparse WHERE fund_id IN ({ACTIVE})", SPARSE),
+    "stored_date_range": with_(
+        """SELECT *, strftime(nav_date, '%Y%m') AS yyyymm FROM sparse
+    WHERE nav_date BETWEEN DATE '1995-03-10' AND DATE '1995-05-20'""",
+        SPARSE,
+    ),
+    "client_keys_merged": with_(
+        """SELECT client_name, CAST(row_number() OVER (ORDER BY early DESC, client_name) AS INTEGER)
+    AS client_identifier FROM (
+        SELECT client_name, min(nav_date) <= DATE '1992-01-03' AS early FROM sparse GROUP BY client_name)""",
+        SPARSE,
+    ),
+    "catalog_table": with_("SELECT client_name, fund_id, nav_date FROM sparse", SPARSE),
     # Publishing
     "partition_overwrite": with_(
         """SELECT client_name, count(*) AS n,

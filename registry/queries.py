@@ -12,7 +12,9 @@ from duskline.functions.clock import bucket_floor, day_fraction, seconds_from_te
 from duskline.operators import (
     alerts,
     cohorts,
+    counted,
     curves,
+    daily,
     forecast,
     history,
     outliers,
@@ -21,6 +23,7 @@ from duskline.operators import (
     residuals,
     rollup,
 )
+from duskline.plans.deliveries import store_deliveries
 from duskline.sources import arrivals as feed
 from duskline.sources import schemas, sinks, tables
 from registry import fixtures as fx
@@ -532,12 +535,12 @@ def alert_pivot(spark, sf_dir):
 def _residuals(spark, sf_dir):
     rows = fx.skewed(spark, sf_dir)
     found = outliers.iqr_split(rows, ["ticker"]).outliers
-    return residuals.prediction_residuals(rows, _ticker_profile(spark, sf_dir), found)
+    return residuals.counted_residuals(rows, _ticker_profile(spark, sf_dir), found)
 
 
 @query
 def prediction_residuals(spark, sf_dir):
-    return rounded(_residuals(spark, sf_dir), 9).distinct()
+    return rounded(_residuals(spark, sf_dir), 9).drop("n")
 
 
 @query
@@ -576,6 +579,197 @@ def ticker_report(spark, sf_dir):
     return rounded(residuals.ticker_report(_residuals(spark, sf_dir)), 9)
 
 
+# Feeds that have funds but no tickers
+
+
+def _fund_residuals(spark, sf_dir):
+    rows = fx.skewed(spark, sf_dir).drop("ticker")
+    found = outliers.iqr_split(rows, ["fund_id"]).outliers
+    profile = profiles.arrival_profile_long(rows)
+    return residuals.counted_residuals(rows, profile, found, entity=["fund_id"])
+
+
+@query
+def fund_residuals(spark, sf_dir):
+    return rounded(_fund_residuals(spark, sf_dir), 9)
+
+
+@query
+def fund_mae_overall(spark, sf_dir):
+    return rounded(residuals.mae_overall(_fund_residuals(spark, sf_dir)), 9)
+
+
+@query
+def fund_signed_errors(spark, sf_dir):
+    known = cohorts.entity_map(fx.skewed(spark, sf_dir), ["client_name", "fund_id"])
+    return rounded(residuals.client_fund_errors(_fund_residuals(spark, sf_dir), known), 9)
+
+
+@query
+def fund_report(spark, sf_dir):
+    return rounded(residuals.fund_report(_fund_residuals(spark, sf_dir)), 9)
+
+
+# The counted history: written once, laid out by its key, with numbered clients
+
+
+def _laid_out(spark, rows, key):
+    names = sinks.settle(cohorts.client_keys(rows))
+    numbered = cohorts.numbered_clients(rows, names)
+    path = _new_folder(spark, "history")
+    return sinks.publish_keyed(counted.counted_history(numbered), path, key), names
+
+
+KEY = "client_identifier"
+
+
+@query
+def profile_short_from_history(spark, sf_dir):
+    days, names = _laid_out(spark, fx.sparse(spark, sf_dir).drop("ticker"), "fund_id")
+    profile = profiles.arrival_profile_short(days, client=KEY)
+    return profiles.profile_report(cohorts.named_clients(profile, names))
+
+
+@query
+def profile_long_from_history(spark, sf_dir):
+    days, names = _laid_out(spark, fx.skewed(spark, sf_dir).drop("ticker"), "fund_id")
+    profile = profiles.arrival_profile_long(days, client=KEY)
+    return profiles.profile_report(cohorts.named_clients(profile, names))
+
+
+@query
+def ticker_profile_from_history(spark, sf_dir):
+    days, names = _laid_out(spark, fx.skewed(spark, sf_dir), "ticker")
+    entities = cohorts.named_clients(cohorts.entity_map(days, [KEY, "fund_id", "ticker"]), names)
+    return profiles.profile_report(profiles.ticker_profile(days, entities))
+
+
+@query
+def ticker_profile_short_from_history(spark, sf_dir):
+    days, names = _laid_out(spark, fx.sparse(spark, sf_dir), "ticker")
+    profile = profiles.ticker_profile_short(days, client=KEY)
+    return profiles.profile_report(cohorts.named_clients(profile, names))
+
+
+@query
+def outliers_from_history(spark, sf_dir):
+    days, names = _laid_out(spark, fx.skewed(spark, sf_dir), "ticker")
+    return cohorts.named_clients(outliers.history_outliers(days, ["ticker"]), names)
+
+
+@query
+def outlier_counts_from_history(spark, sf_dir):
+    days, _ = _laid_out(spark, fx.skewed(spark, sf_dir), "ticker")
+    return outliers.outlier_counts(days, "ticker")
+
+
+@query
+def sla_stats_from_history(spark, sf_dir):
+    days, _ = _laid_out(spark, fx.sparse(spark, sf_dir).drop("ticker"), "fund_id")
+    return profiles.sla_stats(days)
+
+
+@query
+def profile_gaps(spark, sf_dir):
+    return counted.profile_gaps(fx.uneven(spark, sf_dir))
+
+
+@query
+def profiles_by_feed(spark, sf_dir):
+    profile = profiles.arrival_profile_long(fx.two_feeds(spark, sf_dir), by=["feed"])
+    return profiles.profile_report(profile)
+
+
+@query
+def volume_curve_by_feed(spark, sf_dir):
+    profile = profiles.arrival_profile_long(fx.two_feeds(spark, sf_dir), by=["feed"])
+    return curves.volume_curve_5min(profile, CURVE_COLUMNS, by=["feed"])
+
+
+@query
+def volume_curve_5min_funds_short(spark, sf_dir):
+    short = profiles.ticker_profile_short(fx.sparse(spark, sf_dir))
+    funds = rollup.tickers_to_funds(short, latest="max_time")
+    times = ["fund_min_time", "predicted_time", "max_time_before_cutoff", "fund_max_time"]
+    return curves.volume_curve_5min(funds, times)
+
+
+# History by the day
+
+
+def _state(spark, sf_dir, rows, entity):
+    """All days but the latest first, then the latest by itself."""
+    path = _new_folder(spark, "days")
+    latest = rows.agg(F.max("nav_date").alias("day")).first()["day"]
+    earlier = rows.where(F.col("nav_date") < F.lit(latest))
+    daily.write_state(daily.day_state(earlier, entity=entity), path)
+    daily.add_day(rows, path, latest, entity=entity)
+    return daily.read_state(spark, path, f"{entity} string")
+
+
+@query
+def history_increment(spark, sf_dir):
+    state = _state(spark, sf_dir, fx.dense(spark, sf_dir), "client_name")
+    return daily.history_from_state(state)
+
+
+@query
+def stats_increment(spark, sf_dir):
+    state = _state(spark, sf_dir, fx.dense(spark, sf_dir), "fund_id")
+    return daily.stats_from_state(state, entity="fund_id")
+
+
+# Deliveries and what is stored of them
+
+
+@query
+def rejected_rows(spark, sf_dir):
+    return feed.rejected_rows(fx.as_text(fx.dense(spark, sf_dir)))
+
+
+@query
+def observed_drops(spark, sf_dir):
+    """Counted while the arrivals are written."""
+    stored = store_deliveries(fx.as_text(fx.dense(spark, sf_dir)), _new_folder(spark, "deliveries"))
+    return stored["drops"]
+
+
+@query
+def active_cohort_partitioned(spark, sf_dir):
+    """As ``active_cohort``, from arrivals stored by month."""
+    path = _new_folder(spark, "arrivals")
+    rows = fx.sparse(spark, sf_dir)
+    sinks.publish_arrivals(rows, path)
+    stored = tables.read_arrivals(spark, path, rows.schema)
+    return cohorts.active_cohort(stored).drop("yyyymm")
+
+
+@query
+def stored_date_range(spark, sf_dir):
+    """Arrivals of some weeks out of a store of many months."""
+    path = _new_folder(spark, "arrivals")
+    rows = fx.sparse(spark, sf_dir)
+    sinks.publish_arrivals(rows, path)
+    return tables.read_arrivals(spark, path, rows.schema, "1995-03-10", "1995-05-20")
+
+
+@query
+def client_keys_merged(spark, sf_dir):
+    """A dimension from the first days, and the names that came later."""
+    rows = fx.sparse(spark, sf_dir)
+    first = sinks.settle(cohorts.client_keys(rows.where("nav_date <= DATE '1992-01-03'")))
+    return cohorts.merge_client_keys(first, rows)
+
+
+@query
+def catalog_table(spark, sf_dir):
+    """A table of the catalog, with a column list."""
+    name = f"duskline_arrivals_{uuid4().hex}"
+    path = _new_folder(spark, "table")
+    fx.sparse(spark, sf_dir).write.format("parquet").option("path", path).saveAsTable(name)
+    return tables.read_table(spark, name, ["client_name", "fund_id", "nav_date"])
+
+
 # Publishing: each writes to the shared folder and returns what is read back
 
 
@@ -618,8 +812,9 @@ def csv_report(spark, sf_dir):
 def report_view(spark, sf_dir):
     """A result named for SQL."""
     profile = profiles.arrival_profile_short(fx.sparse(spark, sf_dir))
-    sinks.share_view(profile, "short_profile")
+    name = f"short_profile_{uuid4().hex}"
+    sinks.share_view(profile, name)
     return spark.sql(
         "SELECT client_name, count(*) AS funds, max(predicted_time) AS latest "
-        "FROM short_profile GROUP BY client_name"
+        f"FROM {name} GROUP BY client_name"
     )
