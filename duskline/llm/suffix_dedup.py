@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import settled
+from .tables import bucketed
 from .textbytes import _VALUES, _power_tables, column_bytes, mix
 
 LENGTH = 50
@@ -132,7 +132,8 @@ class Pieces:
 
 
 def _parts(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+    """The part of each anchor hash. Anchors are least hashes, so their own top bits are mostly zero."""
+    return (mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -163,7 +164,7 @@ def _anchors(length: int, bits: int):
         for batch in batches:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = Pieces(payload.as_py(), length)
-                order = np.argsort(found.key, kind="stable")
+                order = np.lexsort((found.key, _parts(found.key, bits)))
                 keys, ids = found.key[order], found.ids[found.doc[order]]
                 if not len(keys):
                     continue
@@ -212,8 +213,8 @@ def _windows(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _candidates(length: int, bits: int):
     """Per chunk and part: distinct pieces of shared anchors with their smallest doc_id."""
 
-    def run(table: pa.Table) -> pa.Table:
-        chunk, payload, blobs = _chunk_group(table)
+    def run(chunks: pa.Table, table: pa.Table) -> pa.Table:
+        chunk, payload, blobs = _chunk_group(chunks, table)
         if payload is None or not blobs:
             return _blobs([])
         shared = np.sort(np.concatenate([np.frombuffer(b[1], np.uint64) for b in blobs]))
@@ -240,16 +241,13 @@ def _candidates(length: int, bits: int):
     return run
 
 
-def _chunk_group(table: pa.Table):
-    chunk, payload, blobs = table.column("chunk")[0].as_py(), None, []
-    for part, a, b in zip(
-        table.column("part").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True
-    ):
-        if part < 0:
-            payload = a
-        else:
-            blobs.append((part, a, b))
-    return chunk, payload, sorted(blobs, key=lambda x: x[0])
+def _chunk_group(chunks: pa.Table, table: pa.Table):
+    """A chunk's number and texts, and what the parts said of it, in the order of the parts."""
+    names = (table.column(name).to_pylist() for name in ("part", "a", "b"))
+    blobs = sorted(zip(*names, strict=True), key=lambda x: x[0])
+    if not chunks.num_rows:
+        return None, None, blobs
+    return chunks.column("chunk")[0].as_py(), chunks.column("payload")[0].as_py(), blobs
 
 
 def earliest(text: np.ndarray, first: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
@@ -352,8 +350,8 @@ def _removed(found: Pieces, blobs: list[tuple], length: int) -> np.ndarray:
 
 
 def _cover(length: int, finish):
-    def run(table: pa.Table) -> pa.Table:
-        _, payload, blobs = _chunk_group(table)
+    def run(chunks: pa.Table, table: pa.Table) -> pa.Table:
+        _, payload, blobs = _chunk_group(chunks, table)
         found = Pieces(payload, length)
         return finish(found, _removed(found, blobs, length))
 
@@ -392,19 +390,17 @@ def _texts(names: list[str]):
 
 
 def _run(docs: DataFrame, length: int, finish, schema) -> DataFrame:
-    chunks = settled(docs.mapInArrow(_pack, "chunk long, payload binary"), "chunks")
+    # The texts stay where they are written; what is said of a chunk comes to them.
+    chunks = bucketed(docs.mapInArrow(_pack, "chunk long, payload binary"), "chunks", "chunk")
     total = chunks.agg(F.sum(F.length("payload"))).head()[0] or 0
     # Packed texts are about a third of their bytes; an anchor of 8 bytes comes every 18 bytes.
     bits = max(4, math.ceil(math.log2(max(total * 3 * 8 / 18 / PART_BYTES, 1))))
+    texts = chunks.groupBy("chunk")
     anchors = chunks.mapInArrow(_anchors(length, bits), _BLOBS)
     shared = anchors.groupBy("part").applyInArrow(_shared, _BLOBS)
-    empty = F.lit(b"")
-    texts = chunks.select(
-        "chunk", F.lit(-1).cast("long").alias("part"), F.col("payload").alias("a"), empty.alias("b"), empty.alias("c")
-    )
-    pieces = texts.unionAll(shared).groupBy("chunk").applyInArrow(_candidates(length, bits), _BLOBS)
+    pieces = texts.cogroup(shared.groupBy("chunk")).applyInArrow(_candidates(length, bits), _BLOBS)
     answers = pieces.groupBy("part").applyInArrow(_answers(length), _BLOBS)
-    return texts.unionAll(answers).groupBy("chunk").applyInArrow(_cover(length, finish), schema)
+    return texts.cogroup(answers.groupBy("chunk")).applyInArrow(_cover(length, finish), schema)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
