@@ -2,17 +2,21 @@
 
 A document's set holds its distinct five-word shingles. Register k keeps, of the smallest k-th hash
 of the set, the number of leading zeros and the next bits (6 + 10 bits); every register has a hash
-function of its own, so that short documents fill all of them. Bands of three registers propose
+function of its own, so that short documents fill all of them. Bands of five registers propose
 pairs, the share of equal registers, corrected for chance collisions, drops far pairs, and the
 full sets confirm the rest.
 
 Groups of equal sets are reduced to their smallest doc_id first. Then the members of a bucket are
-compared with its smallest member only, and components are formed. What is left are pairs of a
-bucket in different components; these are compared as well, so no proposed link is lost, while
-a large group of copies costs one comparison per member and band.
+compared with its hub only, the member that meets most others in all buckets: of copies edited from
+one original, that is the original. Components are formed. Where a bucket still has several, its
+members are compared by their registers, those of different components and of sizes that allow the
+similarity; a large bucket is cut into blocks, and a task compares two of them. Only pairs whose
+estimate is high leave a task, each in the first band that it shares. So no proposed link is lost, a
+large group of copies costs one comparison per member and band, and texts that merely share a
+passage cost comparisons of registers inside a task.
 
-A pair at similarity 0.75 escapes all 32 bands with probability (1 - 0.75^3)^32 = 2.3e-8, and an
-estimate below 0.5 with 96 registers has a probability of about 1e-7.
+A pair at similarity 0.75 escapes all 40 bands with probability (1 - 0.75^5)^40 = 2e-5, and an
+estimate below 0.6 with 200 registers has a probability of about 5e-7.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; rows
 that repeat a doc_id share a component with each other's links; a row without doc_id takes the
@@ -32,14 +36,18 @@ from .components import components
 from .tables import settled
 from .textbytes import column_bytes, mix, not_space, shingle_hashes, steps, words_of
 
-BANDS, ROWS = 32, 3
+BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SHINGLE = 5
 # Pairs with an estimate below this are not verified.
-ESTIMATE = 0.5
+ESTIMATE = 0.6
 # A representative's set is sent to one more task for so many of its partners.
 PARTNERS = 256
+# Members of a bucket that are compared at once with as many others.
+BLOCK = 256
+# Ids of pairs that are broadcast to find their texts, beyond which they are joined.
+BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(20240101)
 _FACTORS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,9 +153,10 @@ def _bands(batches):
             continue
         flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16)
         keys = band_keys(flat.reshape(-1, REGISTERS))
+        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+        numbers = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(keys.ravel())],
-            names=["doc_id", "band"],
+            [pa.array(ids), pa.array(numbers), pa.array(keys.ravel())], names=["b", "number", "band"]
         )
 
 
@@ -160,6 +169,33 @@ def _near(batches):
         yield batch.select(["a", "b"]).filter(keep)
 
 
+def _compared(percent: int):
+    """Members of one or two blocks of a bucket in, pairs with a high estimate out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, group, size, block = (table.column(k).to_numpy() for k in ("b", "c", "size", "x"))
+        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        number, within = table.column("number")[0].as_py(), table.column("i")[0] == table.column("j")[0]
+        a, b = [], []
+        for k in range(len(ids) - 1):
+            rest = slice(k + 1, len(ids))
+            low, high = np.minimum(size[k], size[rest]), np.maximum(size[k], size[rest])
+            wanted = (group[rest] != group[k]) & (100 * low >= percent * high)
+            if not within:
+                wanted &= block[rest] != block[k]
+            at = k + 1 + np.flatnonzero(wanted)
+            near = at[estimate(registers[at], registers[k]) >= ESTIMATE] if len(at) else at
+            if len(near):
+                same = (registers[near] == registers[k]).reshape(len(near), BANDS, ROWS).all(axis=2)
+                near = near[same.argmax(axis=1) == number]
+                a.append(np.minimum(ids[k], ids[near]))
+                b.append(np.maximum(ids[k], ids[near]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return run
+
+
 def _confirmed(percent: int):
     def run(batches):
         for batch in batches:
@@ -185,16 +221,43 @@ def _attach(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     return salted.select("a", "b", "salt").join(right, "b").join(left, ["a", "salt"]).select("a", "b", "x", "y")
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, source: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    pairs = settled(pairs.distinct(), "pairs")
-    near = settled(_attach(pairs, sketches, "registers").mapInArrow(_near, "a long, b long"), "near")
+def _verify(near: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
     ends = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
-    sets = source.join(ends, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, hashes binary")
-    sets = settled(sets, "sets")
+    ends = settled(ends, "ends")
+    few = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    chosen = source.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi")
+    sets = settled(chosen.mapInArrow(_set_rows, "doc_id long, hashes binary"), "sets")
     return _attach(near, sets, "hashes").mapInArrow(_confirmed(percent), "a long, b long")
 
 
+def _hubs(members: DataFrame) -> DataFrame:
+    """Per bucket the member that meets most others in all its buckets, the smallest id on a tie."""
+    met = members.groupBy("b").agg(F.sum(F.col("n") - 1).alias("met"))
+    best = F.max(F.struct("met", (-F.col("b")).alias("id"))).alias("best")
+    hubs = members.join(met, "b").groupBy("band").agg(best)
+    return hubs.select("band", (-F.col("best.id")).alias("a"))
+
+
+def _across(members: DataFrame, groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs with a high estimate in buckets whose members are in different components."""
+    grouped = members.join(groups, members["b"] == groups["node"], "left")
+    named = grouped.select("band", "number", "b", F.coalesce("component", "b").alias("c"))
+    mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    mixed = mixed.where("lo <> hi and n > 2").select("band", blocks)
+    known = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("size"), "registers")
+    x, y = F.col("x"), F.col("y")
+    rows = (
+        named.join(mixed, "band")
+        .withColumn("x", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+        .join(known, "b")
+        .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", "number", "b", "c", "size", "x", F.least(x, y).alias("i"), F.greatest(x, y).alias("j"), "registers")
+    )
+    return rows.groupBy("band", "i", "j").applyInArrow(_compared(percent), "a long, b long")
+
+
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of `docs`."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -202,28 +265,20 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
         source.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, registers binary"), "sketches"
     )
     full = sketches.where("digest is not null and doc_id is not null")
-    classes = settled(
-        full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes"
-    )
-    reps = classes.select(F.col("rep").alias("doc_id"), "registers")
-    bands = reps.mapInArrow(_bands, "doc_id long, band long")
-    centres = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = settled(bands.join(centres.select("band", "a"), "band").select("band", "a", F.col("doc_id").alias("b")), "members")
-    first = settled(_verify(members.where("a <> b").select("a", "b"), reps, source, percent), "links")
+    firsts = [F.first(name).alias(name) for name in ("n_shingles", "registers")]
+    classes = settled(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), *firsts), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "registers")
+    bands = reps.select("doc_id", "registers").mapInArrow(_bands, "b long, number int, band long")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = settled(bands.join(sizes, "band"), "members")
+
+    star = members.join(_hubs(members), "band").where("a <> b")
+    pairs = settled(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    near = _attach(pairs, reps, "registers").mapInArrow(_near, "a long, b long")
+    first = settled(_verify(settled(near, "near"), source, percent), "links")
     groups = settled(components(first), "groups")
-
-    def grouped(df: DataFrame, column: str) -> DataFrame:
-        return df.join(groups, df[column] == groups["node"], "left").drop("node")
-
-    # Members of a bucket in different components, without those already compared.
-    named = grouped(members, "b").select("band", "a", "b", F.coalesce("component", "b").alias("c"))
-    mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.where("lo <> hi and n > 2").select("band")
-    left = settled(named.join(mixed, "band").where("a <> b"), "mixed")
-    other = left.select("band", F.col("b").alias("y"), F.col("c").alias("d"))
-    rest = left.join(other, "band").where("b < y and c <> d").select(F.col("b").alias("a"), F.col("y").alias("b"))
-    second = _verify(rest, reps, source, percent)
-    links = settled(first.unionAll(second), "all-links")
+    across = settled(_across(members, groups, reps, percent), "across")
+    links = settled(first.unionAll(_verify(across, source, percent)), "all-links")
     final = components(links)
     reps_of = classes.select("digest", "rep")
     return (
@@ -240,11 +295,18 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row of each component of near copies, all columns as they are."""
-    rows = settled(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = near_groups(rows.select(F.col("__row").alias("doc_id"), "text"), percent)
-    groups = groups.select(F.col("doc_id").alias("__row"), "component_id")
-    ids = rows.select("__row", F.col("doc_id").cast("long").alias("__id"))
+    row, own = (_free(name, docs.columns) for name in ("row", "id"))
+    rows = settled(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_groups(rows.select(F.col(row).alias("doc_id"), "text"), percent)
+    groups = groups.select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col("doc_id").cast("long").alias(own))
     # Null ids come last; rows of one id go by their numbers.
-    least = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row"))
-    kept = ids.join(groups, "__row").groupBy("component_id").agg(least.alias("first")).select("first.__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    least = F.min(F.struct(F.col(own).isNull().alias("none"), own, row))
+    kept = ids.join(groups, row).groupBy("component_id").agg(least.alias("first")).select(f"first.{row}")
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name = f"_{name}"
+    return name

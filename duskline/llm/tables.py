@@ -35,18 +35,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back, so that no lineage is behind it."""
+# What this process has settled and not yet cleared.
+_written: list[str] = []
+
+
+def settled(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Writes a table into the shared folder and reads it back, so that no lineage is behind it.
+
+    `clear_settled` deletes it, unless it is to be kept.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_settled(spark: SparkSession) -> None:
+    """Deletes what was settled so far: for when all results made from it have been written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """As `settled`, in buckets of one key: what meets these rows by the key leaves them in place."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.format("parquet").option("path", f"{shared_folder(spark)}/{table}")
+    path = f"{shared_folder(spark)}/{table}"
+    _written.append(path)
+    writer = df.write.format("parquet").option("path", path)
     writer.bucketBy(buckets, key).saveAsTable(table)
     return spark.table(table)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -15,7 +16,7 @@ import pytest
 from conftest import MIDDLE
 from pyspark.sql import functions as F
 
-from duskline.llm import alignment, hard_negatives, sharding
+from duskline.llm import alignment, hard_negatives, near_dedup, sharding, suffix_dedup
 from duskline.llm.oracles import ORACLES
 from duskline.llm.queries import QUERIES, piece_model, tokenizer_files
 from registry.compare import differences
@@ -283,3 +284,89 @@ def test_alignment_of_nothing(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     found = alignment.cross_alignment(docs, *tokenizer_files(), piece_model()).collect()
     assert sorted(tuple(r)[1:] for r in found) == [(0, 0, 0, 0, 0, 0, "")] * 2
+
+
+# Near duplicates and repeated strings: many texts that share a passage
+
+
+def _components(sets, percent=75):
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return [root(x) for x in range(len(sets))]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_texts_that_share_a_passage(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(12)
+
+    def words(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    passage, original = words(60), words(80)
+    texts = [passage + words(rng.randrange(20, 60)) for _ in range(60)]
+    # Copies with three words changed: like the original, less like each other.
+    for _ in range(25):
+        copy = list(original)
+        for at in rng.sample(range(80), 3):
+            copy[at] = f"x{rng.randrange(5000)}"
+        texts.append(copy)
+    texts += [original, passage, passage + words(8)] + [t + ["end"] for t in texts[:5]]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(k, " ".join(t), k) for k, t in enumerate(texts)], "doc_id long, text string, row long")
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    found = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    assert [found[k] for k in range(len(texts))] == _components(sets)
+    kept = near_dedup.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert all(r.row == r.doc_id for r in kept.collect())
+
+
+def test_hash_parts_are_even():
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 123, 400_000).astype(np.uint8)
+    least = np.lib.stride_tricks.sliding_window_view(rng.integers(0, 1 << 63, 400_000, dtype=np.uint64), 35).min(axis=1)
+    counts = np.bincount(suffix_dedup._parts(np.unique(least), 8), minlength=256)
+    assert len(text) and counts.min() > 0 and counts.max() < 2 * counts.mean()
+
+
+def test_repeats_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    texts = [(5, "x" + shared), (5, shared + "y"), (None, shared[:80]), (None, shared), (3, shared[30:]), (2, ""), (1, None), (4, "z" * 200)]
+    texts += [(9, "z" * 60 + shared[10:70])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = [((2**63 - 1 if i is None else i), (t or "").encode()) for i, t in texts]
+    wanted = []
+    for own, text in rows:
+        gone = np.zeros(len(text), bool)
+        for at in range(len(text) - 49):
+            if any(i < own and text[at : at + 50] in other for i, other in rows):
+                gone[at : at + 50] = True
+        kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+        spans = int(np.sum(np.diff(np.append(0, gone.astype(int))) == 1))
+        wanted.append((None if own == 2**63 - 1 else own, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    found = suffix_dedup.repeats(docs)
+    assert Counter(map(tuple, found.collect())) == Counter(wanted)
+
+
+def test_settled_tables_are_cleared(spark, tmp_path):
+    from duskline.llm.tables import bucketed, clear_settled, settled
+
+    kept = settled(spark.range(5), "kept", keep=True)
+    gone = [settled(spark.range(5), "gone"), bucketed(spark.range(5), "gone", "id")]
+    files = [path for df in gone for path in df.inputFiles()]
+    clear_settled(spark)
+    assert kept.count() == 5
+    assert not any(os.path.exists(path.removeprefix("file:").replace("///", "/")) for path in files)
