@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage filters or changes what its predecessor kept."""
+"""The corpus pipeline: each stage filters or changes what its predecessor kept.
+
+A stage is called when what the one before it returned has been written, so it first clears the
+tables which that one settled on the way.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from duskline.llm import decontaminate, near_dedup, packing, quality, suffix_dedup
 from duskline.llm.queries import tokenizer_files
-from duskline.llm.tables import settled, table
+from duskline.llm.tables import clear_settled, settled, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,18 +18,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clear_settled(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clear_settled(spark)
     return suffix_dedup.drop_repeats(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clear_settled(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clear_settled(spark)
     return packing.packed(docs, *tokenizer_files())
 
 
@@ -44,5 +52,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
