@@ -10,10 +10,10 @@ Groups of equal sets are reduced to their smallest doc_id first. Then the member
 compared with its hub only, the member that meets most others in all buckets: of copies edited from
 one original, that is the original. Components are formed. Where a bucket still has several, its
 members are compared by their registers, those of different components and of sizes that allow the
-similarity; a large bucket is cut into blocks, and a task compares two of them. Only pairs whose
-estimate is high leave a task, each in the first band that it shares. So no proposed link is lost, a
-large group of copies costs one comparison per member and band, and texts that merely share a
-passage cost comparisons of registers inside a task.
+similarity; a large bucket is cut into blocks, and a task compares two of them, each pair in the
+first band that it shares. Members with a high estimate get their full sets, and again only links
+leave the task. So no proposed link is lost, a large group of copies costs one comparison per member
+and band, and texts that merely share a passage cost comparisons inside tasks but no rows.
 
 A pair at similarity 0.75 escapes all 40 bands with probability (1 - 0.75^5)^40 = 2e-5, and an
 estimate below 0.6 with 200 registers has a probability of about 5e-7.
@@ -169,29 +169,56 @@ def _near(batches):
         yield batch.select(["a", "b"]).filter(keep)
 
 
-def _compared(percent: int):
-    """Members of one or two blocks of a bucket in, pairs with a high estimate out."""
+def _candidates(table: pa.Table, percent: int):
+    """Pairs of rows of one or two blocks of a bucket that may be similar, a row and its partners.
+
+    Their components differ, their sizes allow the similarity, their estimate is high, and this is
+    the first band that they share.
+    """
+    group, size, block = (table.column(k).to_numpy() for k in ("c", "size", "x"))
+    registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    number, within = table.column("number")[0].as_py(), table.column("i")[0] == table.column("j")[0]
+    for k in range(len(group) - 1):
+        rest = slice(k + 1, len(group))
+        low, high = np.minimum(size[k], size[rest]), np.maximum(size[k], size[rest])
+        wanted = (group[rest] != group[k]) & (100 * low >= percent * high)
+        if not within:
+            wanted &= block[rest] != block[k]
+        at = k + 1 + np.flatnonzero(wanted)
+        near = at[estimate(registers[at], registers[k]) >= ESTIMATE] if len(at) else at
+        if len(near):
+            same = (registers[near] == registers[k]).reshape(len(near), BANDS, ROWS).all(axis=2)
+            near = near[same.argmax(axis=1) == number]
+        if len(near):
+            yield k, near
+
+
+def _involved(percent: int):
+    """The rows of a bucket's blocks that are in such a pair."""
+
+    def run(table: pa.Table) -> pa.Table:
+        taken = np.zeros(table.num_rows, bool)
+        for k, near in _candidates(table, percent):
+            taken[k] = taken[near] = True
+        return table.filter(pa.array(taken))
+
+    return run
+
+
+def _linked(percent: int):
+    """The pairs among these rows whose full sets are similar."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, group, size, block = (table.column(k).to_numpy() for k in ("b", "c", "size", "x"))
-        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        number, within = table.column("number")[0].as_py(), table.column("i")[0] == table.column("j")[0]
+        ids = table.column("b").to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("hashes")]
         a, b = [], []
-        for k in range(len(ids) - 1):
-            rest = slice(k + 1, len(ids))
-            low, high = np.minimum(size[k], size[rest]), np.maximum(size[k], size[rest])
-            wanted = (group[rest] != group[k]) & (100 * low >= percent * high)
-            if not within:
-                wanted &= block[rest] != block[k]
-            at = k + 1 + np.flatnonzero(wanted)
-            near = at[estimate(registers[at], registers[k]) >= ESTIMATE] if len(at) else at
-            if len(near):
-                same = (registers[near] == registers[k]).reshape(len(near), BANDS, ROWS).all(axis=2)
-                near = near[same.argmax(axis=1) == number]
-                a.append(np.minimum(ids[k], ids[near]))
-                b.append(np.maximum(ids[k], ids[near]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+        for k, near in _candidates(table, percent):
+            for other in near.tolist():
+                both = len(np.intersect1d(sets[k], sets[other], assume_unique=True))
+                if 100 * both >= percent * (len(sets[k]) + len(sets[other]) - both):
+                    a.append(min(ids[k], ids[other]))
+                    b.append(max(ids[k], ids[other]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -221,14 +248,18 @@ def _attach(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     return salted.select("a", "b", "salt").join(right, "b").join(left, ["a", "salt"]).select("a", "b", "x", "y")
 
 
+def _sets_of(ids: DataFrame, source: DataFrame) -> DataFrame:
+    """The full sets of some documents (doc_id)."""
+    ids = settled(ids.distinct(), "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    chosen = source.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return settled(chosen.mapInArrow(_set_rows, "doc_id long, hashes binary"), "sets")
+
+
 def _verify(near: DataFrame, source: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
-    ends = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
-    ends = settled(ends, "ends")
-    few = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = source.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi")
-    sets = settled(chosen.mapInArrow(_set_rows, "doc_id long, hashes binary"), "sets")
-    return _attach(near, sets, "hashes").mapInArrow(_confirmed(percent), "a long, b long")
+    ends = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id")))
+    return _attach(near, _sets_of(ends, source), "hashes").mapInArrow(_confirmed(percent), "a long, b long")
 
 
 def _hubs(members: DataFrame) -> DataFrame:
@@ -239,8 +270,13 @@ def _hubs(members: DataFrame) -> DataFrame:
     return hubs.select("band", (-F.col("best.id")).alias("a"))
 
 
-def _across(members: DataFrame, groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs with a high estimate in buckets whose members are in different components."""
+def _across(
+    members: DataFrame, groups: DataFrame, reps: DataFrame, source: DataFrame, percent: int
+) -> DataFrame:
+    """Links between different components in buckets that hold several.
+
+    Registers tell which members may be similar to another; only these get their full sets.
+    """
     grouped = members.join(groups, members["b"] == groups["node"], "left")
     named = grouped.select("band", "number", "b", F.coalesce("component", "b").alias("c"))
     mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
@@ -255,7 +291,11 @@ def _across(members: DataFrame, groups: DataFrame, reps: DataFrame, percent: int
         .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", "number", "b", "c", "size", "x", F.least(x, y).alias("i"), F.greatest(x, y).alias("j"), "registers")
     )
-    return rows.groupBy("band", "i", "j").applyInArrow(_compared(percent), "a long, b long")
+    cell = ["band", "i", "j"]
+    involved = settled(rows.groupBy(*cell).applyInArrow(_involved(percent), rows.schema), "involved")
+    sets = _sets_of(involved.select(F.col("b").alias("doc_id")), source)
+    held = involved.join(sets.withColumnRenamed("doc_id", "b"), "b")
+    return held.groupBy(*cell).applyInArrow(_linked(percent), "a long, b long")
 
 
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -277,8 +317,8 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     near = _attach(pairs, reps, "registers").mapInArrow(_near, "a long, b long")
     first = settled(_verify(settled(near, "near"), source, percent), "links")
     groups = settled(components(first), "groups")
-    across = settled(_across(members, groups, reps, percent), "across")
-    links = settled(first.unionAll(_verify(across, source, percent)), "all-links")
+    across = _across(members, groups, reps, source, percent)
+    links = settled(first.unionAll(across), "all-links")
     final = components(links)
     reps_of = classes.select("digest", "rep")
     return (
