@@ -13,27 +13,37 @@ from duskline.llm.queries import tokenizer_files
 from duskline.llm.tables import clear_settled, settled, table
 
 
+# Rows of an Arrow batch: long texts come in few, and a worker holds a batch and what it makes of it.
+BATCH_ROWS = 2000
+
+
+def _begin(spark: SparkSession) -> None:
+    clear_settled(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return quality.drop_poor(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clear_settled(spark)
+    _begin(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clear_settled(spark)
+    _begin(spark)
     return suffix_dedup.drop_repeats(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clear_settled(spark)
+    _begin(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clear_settled(spark)
+    _begin(spark)
     return packing.packed(docs, *tokenizer_files())
 
 
