@@ -59,7 +59,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scores.drop("evidence")
+    return scores.withColumn("evidence", F.col("evidence.doc_id"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

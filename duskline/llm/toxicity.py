@@ -6,19 +6,26 @@ The examples' inverted index has blocks of example numbers with the largest weig
 block whose bound is below the K-th best cosine found so far is skipped, which loses no neighbour.
 The commonest terms are a matrix instead of postings. The neighbours are the evidence.
 
-Their vote alone classifies worse (README), so the score joins two parts as independent causes. One
-is a vote over the terms that tell toxic examples from others by chi-squared, weighted by cosine over
-these terms and calibrated by a logistic curve fitted on leave-one-out votes. The other is the exact
-cosine to the nearest toxic neighbour, to the power NEAR, so that a copy of a toxic example is toxic
-whatever its words are.
+Their vote alone classifies worse (README), so the score joins three parts as independent causes, each
+calibrated by a logistic curve on leave-one-out values, with labels weighing as much as among all
+training rows:
+- the log odds of toxic among the neighbours, weighted by cosine;
+- a vote over the terms that tell toxic examples from others by chi-squared, weighted by cosine over
+  these terms, for the whole text and for its best passage of two times PASSAGE words, of which the
+  larger counts, so that a toxic passage in a long text is found;
+- the cosine to the nearest toxic neighbour, to the power NEAR: a copy of a toxic example is toxic.
+
+Copies of an example, and of a passage in many examples, count once: a word has 1 / (the number of
+examples with the same five words) as its share, in the chi-squared of terms and in votes. A chosen
+word's beginnings do not count beside it.
 
 The fit sees at most EXAMPLES labelled rows of each label; scoring sees every text whole.
 
-Defined cases: null and empty texts have no neighbours; they, and in the first part texts without a
+Defined cases: null and empty texts have no neighbours; they, and in the second part texts without a
 chosen term, get the smoothed share of toxic ones among such examples; terms of no example count in
-a text's length; without labelled rows every score is 0; equal cosines
-prefer the smaller example number; repeated rows are scored one by one; an empty table gives no
-rows; labels, lang, source and doc_id are never inputs.
+a text's length; without labelled rows every score is 0; equal cosines prefer the smaller example
+number; repeated rows are scored one by one; an empty table gives no rows; labels, lang, source and
+doc_id are never inputs.
 """
 
 from __future__ import annotations
@@ -31,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fold, sample
+from .labelled import fold, sample_rows, training_labels
 from .tables import shared
-from .textbytes import column_bytes, letters_and_digits, prefix_hashes, steps, words_of
+from .textbytes import column_bytes, letters_and_digits, prefix_hashes, shingle_hashes, steps, words_of
 
 MODULUS, HELD_OUT = 4, 2
 EXAMPLES = 2000
@@ -45,12 +52,20 @@ BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 15
 # Weight, in cosines, of the share of toxic ones among examples without a term.
 PRIOR = 1.0
+# Weight of a word in the length of a vector over chosen terms.
+OTHER = 0.05
+# Words from one passage to the next; a passage has twice as many.
+PASSAGE = 64
 BLOCK = 64
 # Blocks looked at in one step, in the order of their bounds.
 AT_ONCE = 8
 THRESHOLD = 0.3
-# Power of the cosine to a toxic neighbour in the score; 0.93 alone reaches the threshold.
-NEAR = 16
+# Power of the cosine to a toxic neighbour in the score; 0.9954 alone reaches the threshold.
+NEAR = 256
+# What toxic neighbours count for besides those found, against 1 of the others.
+ODDS = 0.05
+# Slope and intercept of a curve before anything is seen, and how hard they hold.
+SLOPE, RIDGE = (4.0, -2.0), 0.05
 # Over all terms: examples of a block, terms of the matrix, and texts whose products are held at once.
 SPAN = 1024
 COMMON = 2048
@@ -94,20 +109,40 @@ class Index:
     start: np.ndarray
     bound: np.ndarray
     labels: np.ndarray
+    # What an example counts for in a vote: the mean share of its words.
+    weight: np.ndarray
     without: float
-    curve: tuple[float, float]
+    # Logistic curves of the terms' vote, of the best passage's and of the neighbours' log odds; None
+    # without examples.
+    curves: tuple[tuple[float, float], ...] | None
     cosine: Cosine
+    # doc_id of each example.
+    ids: np.ndarray
 
 
-def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term) of every word and word beginning, and the number of words of each row."""
+@dataclass
+class Terms:
+    """Every word of some texts, then every word beginning: its text, hash, and which word it is or begins.
+
+    `words` are the numbers of words of the texts.
+    """
+
+    rows: np.ndarray
+    hashes: np.ndarray
+    word: np.ndarray
+    words: np.ndarray
+
+
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> Terms:
     words = words_of(data, offsets, letters_and_digits())
-    rows = np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
+    sizes = np.diff(words.rows)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
     found = prefix_hashes(words, BEGINNINGS)
-    return (
+    return Terms(
         np.concatenate([rows, *(rows[own] for own, _ in found)]),
         np.concatenate([words.hashes, *(hashes for _, hashes in found)]),
-        np.diff(words.rows),
+        np.concatenate([np.arange(len(rows)), *(own for own, _ in found)]),
+        sizes,
     )
 
 
@@ -131,24 +166,93 @@ def _known(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.nd
     return maybe[own], at[own]
 
 
-def _vocabulary(terms: np.ndarray, toxic: np.ndarray, n: int, ones: int) -> np.ndarray:
-    """Terms that occur more in toxic examples than their share, by chi-squared."""
+def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per word the hash of the five words that begin there, and the first word of each text.
+
+    The last words of a text have its last five, a shorter text has them all.
+    """
+    words = words_of(data, offsets, letters_and_digits())
+    hashes, cuts = shingle_hashes(words)
+    sizes = np.diff(words.rows)
+    places = np.arange(len(words.hashes)) - np.repeat(words.rows[:-1], sizes)
+    runs = np.repeat(np.diff(cuts), sizes)
+    return hashes[np.repeat(cuts[:-1], sizes) + np.minimum(places, runs - 1)], words.rows
+
+
+def shares_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Per text and word 1 / (the number of texts that hold the same five words).
+
+    Copies of a text, and copies of a passage, have shares that add up to one text's.
+    """
+    parts = []
+    for first, last in steps(offsets):
+        hashes, cuts = _shingles(data, offsets[first : last + 1])
+        parts += [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    known, texts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, int))
+    del parts
+    out = []
+    for first, last in steps(offsets):
+        hashes, cuts = _shingles(data, offsets[first : last + 1])
+        shares = 1 / texts[np.searchsorted(known, hashes)]
+        out += np.split(shares, cuts[1:-1])
+    return out
+
+
+def _telling(rows: np.ndarray, terms: np.ndarray, shares: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Terms that occur more in toxic examples than their share, by chi-squared, the most telling first.
+
+    A term counts in an example as its largest share there, and an example as its weight, so that
+    words of a text or passage with many copies do not pass for common ones.
+    """
+    if not len(rows):
+        return np.zeros(0, np.uint64)
+    order = np.lexsort((terms, rows))
+    rows, terms, shares = rows[order], terms[order], shares[order]
+    first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])))
+    rows, terms, shares = rows[first], terms[first], np.maximum.reduceat(shares, first)
+    n, ones = weight.sum(), weight @ y
     values, inverse = np.unique(terms, return_inverse=True)
-    df, hits = np.bincount(inverse), np.bincount(inverse, toxic)
+    df, hits = np.bincount(inverse, shares), np.bincount(inverse, shares * y[rows])
     expected = df * ones / n
-    chi = (hits - expected) ** 2 / np.maximum(expected, 1e-9) * n / max(n - ones, 1)
+    chi = (hits - expected) ** 2 / np.maximum(expected, 1e-9) * n / max(n - ones, 1e-9)
     # Twice the share of toxic examples, and more often toxic than not.
-    good = np.flatnonzero((hits >= LEAST_EXAMPLES) & (chi >= LEAST_CHI) & (hits * n > 2 * df * ones) & (2 * hits > df))
-    best = good[np.lexsort((values[good], -chi[good]))][:TERMS]
-    return np.sort(values[best])
+    good = np.flatnonzero((hits >= LEAST_EXAMPLES - 1e-9) & (chi >= LEAST_CHI) & (hits * n > 2 * df * ones) & (2 * hits > df))
+    return values[good[np.lexsort((values[good], -chi[good]))]][:TERMS]
+
+
+def _vocabulary(texts: list[Terms], alone: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The telling words, and the beginnings that are telling in other words than these."""
+    found = np.zeros(0, np.uint64)
+    for beginnings in (False, True):
+        parts, at = [], 0
+        for terms in texts:
+            words = int(terms.words.sum())
+            own = np.arange(words, len(terms.rows)) if beginnings else np.arange(words)
+            own = own[~np.isin(terms.hashes[terms.word[own]], found)] if beginnings else own
+            shares = np.concatenate(alone[at : at + len(terms.words)])
+            parts.append((terms.rows[own] + at, terms.hashes[own], shares[terms.word[own]]))
+            at += len(terms.words)
+        columns = [np.concatenate([p[k] for p in parts]) for k in range(3)] if parts else [np.zeros(0)] * 3
+        found = np.append(found, _telling(*columns, y, weight))
+    return np.sort(found)
+
+
+def _chosen(vocabulary: np.ndarray, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrences of chosen terms, and the terms' numbers; a chosen word's beginnings do not count."""
+    own, numbers = _known(vocabulary, terms.hashes)
+    words = int(terms.words.sum())
+    known = np.zeros(words, bool)
+    known[own[own < words]] = True
+    good = (own < words) | ~known[terms.word[own]]
+    return own[good], numbers[good]
 
 
 def _weights(
     rows: np.ndarray, numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray, words: np.ndarray
 ) -> np.ndarray:
-    """TF-IDF weights, of unit length per row, in which every word of the text counts as 1 besides."""
-    weights = (1 + np.log(counts)) * idf[numbers]
-    norm = np.sqrt(np.bincount(rows, weights**2, len(words)) + words)
+    """TF-IDF weights, of unit length per row, beside which all words together are a term of idf OTHER."""
+    weights = counts * idf[numbers]
+    norm = np.sqrt(np.bincount(rows, weights**2, len(words)) + (OTHER * words) ** 2)
     return weights / norm[rows]
 
 
@@ -188,7 +292,7 @@ def cosine_index(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int
     """The index over all terms of n examples, from their distinct (row, term) and counts."""
     values, numbers, df = np.unique(terms, return_inverse=True, return_counts=True)
     idf = np.log((n + 1) / (df + 1)) + 1
-    weights = (1 + np.log(counts)) * idf[numbers]
+    weights = counts * idf[numbers]
     weights /= np.sqrt(np.bincount(rows, weights**2, n))[rows]
     order = np.lexsort((rows, numbers))
     rows, numbers, weights = rows[order], numbers[order], weights[order]
@@ -216,11 +320,12 @@ def cosine_index(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int
 
 
 def nearest(
-    cosine: Cosine, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int
+    cosine: Cosine, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, leave_out: bool = False
 ) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text the NEIGHBOURS examples of largest cosine above 0 over all terms, exactly.
 
-    The texts are given by their distinct (row, term), ordered, and counts.
+    The texts are given by their distinct (row, term), ordered, and counts. With `leave_out` they
+    are the examples themselves, and none is its own neighbour.
     """
     none = np.zeros(0, int), np.zeros(0)
     if not len(cosine.terms):
@@ -228,7 +333,7 @@ def nearest(
     own, numbers = _known(cosine.terms, terms)
     idf = np.full(len(terms), np.log(cosine.n + 1) + 1)
     idf[own] = cosine.idf[numbers]
-    weights = (1 + np.log(counts)) * idf
+    weights = counts * idf
     weights = (weights / np.sqrt(np.bincount(rows, weights**2, n))[rows])[own]
     rows, column = rows[own], cosine.common[numbers]
     out = []
@@ -239,6 +344,8 @@ def nearest(
         vectors = np.zeros((last - first, len(cosine.matrix)))
         vectors[rows[often] - first, column[often]] = weights[often]
         sums = vectors @ cosine.matrix
+        if leave_out:
+            sums[np.arange(last - first), np.arange(first, last)] = -np.inf
         rare = np.flatnonzero(column[a:b] < 0) + a
         cuts = np.searchsorted(rows[rare], np.arange(first, last + 1))
         for k in range(last - first):
@@ -277,39 +384,97 @@ def _best(cosine: Cosine, scores: np.ndarray, terms: np.ndarray, weights: np.nda
 
 def _vote(index: Index, ids: np.ndarray, cosines: np.ndarray) -> float:
     """Share of toxic neighbours, weighted by cosine; far neighbours count little."""
+    cosines = cosines * index.weight[ids]
     return float((cosines @ index.labels[ids] + PRIOR * index.without) / (cosines.sum() + PRIOR))
 
 
-def _curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def _votes(index: Index, terms: Terms, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Votes over the chosen terms: of whole texts, and the largest of a text's passages.
+
+    A passage begins every PASSAGE words and goes on for the next PASSAGE as well. With `skip` the
+    texts are the examples from that number on, and none votes for itself.
+    """
+    n = len(terms.words)
+    own, numbers = _chosen(index.terms, terms)
+    rows = terms.rows[own]
+    places = terms.word[own] - (np.cumsum(terms.words) - terms.words)[rows]
+    passages = np.maximum(-(-terms.words // PASSAGE) - 1, 1)
+    first = np.cumsum(passages) - passages
+    block = places // PASSAGE
+    here, before = np.minimum(block, passages[rows] - 1), np.minimum(np.maximum(block - 1, 0), passages[rows] - 1)
+    twice = here != before
+    text = np.repeat(np.arange(n), passages)
+    begins = (np.arange(len(text)) - first[text]) * PASSAGE
+    sizes = np.minimum(terms.words[text] - begins, 2 * PASSAGE)
+
+    def best(units, numbers, sizes, text):
+        units, numbers, counts = _counted(units, numbers)
+        weights = _weights(units, numbers, counts, index.idf, sizes)
+        out = np.full(n, index.without)
+        cuts = np.append(np.flatnonzero(np.append(True, units[1:] != units[:-1])), len(units)) if len(units) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            row = int(text[units[a]])
+            vote = _vote(index, *neighbours(index, numbers[a:b], weights[a:b], skip=-1 if skip is None else skip + row))
+            out[row] = max(out[row], vote)
+        return out
+
+    whole = best(rows, numbers, terms.words, np.arange(n))
+    units = np.append(first[rows] + here, (first[rows] + before)[twice])
+    return whole, best(units, np.append(numbers, numbers[twice]), sizes, text)
+
+
+def _odds(index: Index, ids: np.ndarray, cosines: np.ndarray) -> float:
+    """Log odds of toxic among the neighbours, weighted by cosine relative to the nearest one's."""
+    weights = cosines / cosines[0] * index.weight[ids] if len(cosines) else cosines
+    toxic = float(weights @ index.labels[ids])
+    return float(np.log((toxic + ODDS) / (weights.sum() - toxic + 1)))
+
+
+def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic curve, by damped Newton steps with a weak prior."""
-    slope, base = 4.0, -2.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * votes + base, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - labels) * votes).sum() + 0.05 * (slope - 4), (p - labels).sum() + 0.05 * (base + 2)])
-        h = np.array([[(w * votes**2).sum() + 0.05, (w * votes).sum()], [(w * votes).sum(), w.sum() + 0.05]])
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
-        slope, base = slope - step[0], base - step[1]
-    return float(max(slope, 0.1)), float(base)
+    beta = np.array(SLOPE)
+    for _ in range(60):
+        p = _logistic(beta, x)
+        v, r = w * p * (1 - p) + 1e-6, w * (p - y)
+        g = np.array([(r * x).sum(), r.sum()]) + RIDGE * (beta - SLOPE)
+        h = np.array([[(v * x * x).sum(), (v * x).sum()], [(v * x).sum(), v.sum()]]) + RIDGE * np.eye(2)
+        beta = beta - np.clip(np.linalg.solve(h, g), -1, 1)
+    return float(max(beta[0], 0.0)), float(beta[1])
+
+
+def _logistic(curve: tuple[float, float], x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] * x + curve[1], -30, 30)))
 
 
 def build(texts: list[str], labels: list[int], positive_share: float | None = None) -> Index:
-    """The index of labelled examples and its calibration."""
+    """The index of labelled examples and its calibration.
+
+    `positive_share` is the share of toxic rows among all that the examples stand for.
+    """
     y = np.array(labels, float)
     data, offsets = column_bytes(pa.array(texts, pa.large_string()))
-    parts, at = [], 0
-    for first, last in steps(offsets):
-        rows, terms, sizes = terms_of(data, offsets[first : last + 1])
-        rows, terms, counts = _counted(rows, terms)
-        parts.append((rows + at, terms, counts, sizes))
-        at += last - first
+    alone = shares_of(data, offsets)
+    texts = [terms_of(data, offsets[first : last + 1]) for first, last in steps(offsets)]
+    at = np.cumsum([0, *(len(t.words) for t in texts)])
     none = np.zeros(0, int)
-    rows, terms, counts, words = (np.concatenate([p[k] for p in parts]) if parts else none for k in range(4))
+    parts = [_counted(t.rows + first, t.hashes) for t, first in zip(texts, at, strict=False)]
+    all_rows, all_terms, all_counts = (np.concatenate([p[k] for p in parts]) if parts else none for k in range(3))
+    words = np.concatenate([t.words for t in texts]) if texts else none
+    del parts
     n, ones = len(y), int(y.sum())
-    cosine = cosine_index(rows, terms, counts, n)
-    vocabulary = _vocabulary(terms, y[rows], n, ones) if n and len(rows) else np.zeros(0, np.uint64)
-    own, numbers = _known(vocabulary, terms)
-    rows, counts = rows[own], counts[own]
+    share = ones / max(n, 1) if positive_share is None else positive_share
+    # Copies count together as one example; the labels then weigh as much as among all rows.
+    weight = np.array([a.mean() if len(a) else 1.0 for a in alone])
+    toxic = weight @ y
+    stands = weight * np.where(y == 1, share / max(toxic, 1e-9), (1 - share) / max(weight.sum() - toxic, 1e-9)) * weight.sum()
+    cosine = cosine_index(all_rows, all_terms, all_counts, n)
+    vocabulary = _vocabulary(texts, alone, y, weight)
+    del alone
+    found = [_chosen(vocabulary, t) for t in texts]
+    rows, numbers, counts = _counted(
+        np.concatenate([none, *(t.rows[own] + first for t, (own, _), first in zip(texts, found, at, strict=False))]),
+        np.concatenate([none, *(numbers for _, numbers in found)]),
+    )
     idf = np.log((n + 1) / (np.bincount(numbers, minlength=len(vocabulary)) + 1)) + 1 if len(vocabulary) else np.zeros(0)
     weights = _weights(rows, numbers, counts, idf, words)
     order = np.lexsort((rows, numbers))
@@ -321,66 +486,84 @@ def build(texts: list[str], labels: list[int], positive_share: float | None = No
     np.maximum.at(bound, slot, weights[order])
     bare = np.ones(n, bool)
     bare[rows] = False
-    without = (y[bare].sum() + 0.01) / (bare.sum() + 1) if n else 0.0
-    index = Index(vocabulary, idf, examples, weights[order], start[edges], bound.reshape(len(vocabulary), blocks), y, float(without), (4.0, -2.0), cosine)
-    votes, truth = [], []
-    cuts = np.searchsorted(rows, np.arange(n + 1))
-    for row in np.flatnonzero(~bare).tolist():
-        a, b = cuts[row], cuts[row + 1]
-        votes.append(_vote(index, *neighbours(index, numbers[a:b], weights[a:b], skip=row)))
-        truth.append(y[row])
-    if votes:
-        index.curve = _curve(np.array(votes), np.array(truth))
+    without = (stands[bare & (y == 1)].sum() + 0.01) / (stands[bare].sum() + 1) if n else 0.0
+    index = Index(vocabulary, idf, examples, weights[order], start[edges], bound.reshape(len(vocabulary), blocks), y, weight, float(without), None, cosine, np.arange(n))
+    votes, passages = np.zeros(n), np.zeros(n)
+    for first, terms in zip(at, texts, strict=False):
+        last = first + len(terms.words)
+        votes[first:last], passages[first:last] = _votes(index, terms, skip=int(first))
+    del texts
+    near = nearest(cosine, all_rows, all_terms, all_counts, n, leave_out=True)
+    odds = np.array([_odds(index, ids, cosines) for ids, cosines in near])
+    # The common terms' matrix is made anew where it is used.
+    cosine.__dict__.pop("matrix", None)
+    if n:
+        by_terms, by_passage = _curve(votes, y, stands), _curve(passages, y, stands)
+        # Toxic examples that their terms explain tell little about the neighbours.
+        left = np.where(y == 1, 1 - _logistic(by_terms, votes), 1.0)
+        index.curves = by_terms, by_passage, _curve(odds, y, stands * left)
     return index
 
 
-def scored(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
-    """Scores of the rows, and the numbers of the nearest examples."""
+def scored(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Scores of the rows, and the nearest examples with their cosines."""
     n = len(offsets) - 1
-    scores, evidence = np.full(n, index.without), []
-    all_rows, all_terms, words = terms_of(data, offsets)
-    all_rows, all_terms, all_counts = _counted(all_rows, all_terms)
-    own, numbers = _known(index.terms, all_terms)
-    rows, counts = all_rows[own], all_counts[own]
-    weights = _weights(rows, numbers, counts, index.idf, words)
-    cuts = np.searchsorted(rows, np.arange(n + 1))
-    slope, base = index.curve
-    for row in np.unique(rows).tolist():
-        a, b = cuts[row], cuts[row + 1]
-        vote = _vote(index, *neighbours(index, numbers[a:b], weights[a:b]))
-        scores[row] = 1 / (1 + np.exp(-(slope * vote + base)))
-    for row, (ids, cosines) in enumerate(nearest(index.cosine, all_rows, all_terms, all_counts, n)):
-        near = min(1.0, float((cosines * (index.labels[ids] == 1)).max(initial=0.0))) ** NEAR
-        scores[row] = 1 - (1 - scores[row]) * (1 - near)
-        evidence.append(ids.tolist())
-    return scores, evidence
+    if index.curves is None:
+        return np.zeros(n), [(np.zeros(0, int), np.zeros(0))] * n
+    terms = terms_of(data, offsets)
+    votes, passages = _votes(index, terms)
+    near = nearest(index.cosine, *_counted(terms.rows, terms.hashes), n)
+    odds = np.array([_odds(index, ids, cosines) for ids, cosines in near])
+    copies = np.array([min(1.0, float((c * (index.labels[ids] == 1)).max(initial=0.0))) ** NEAR for ids, c in near])
+    by_terms, by_passage, by_neighbours = index.curves
+    told = np.maximum(_logistic(by_terms, votes), _logistic(by_passage, passages))
+    return 1 - (1 - told) * (1 - _logistic(by_neighbours, odds)) * (1 - copies), near
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Index:
-    return build(*sample(docs, labels, "toxic", MODULUS, HELD_OUT, EXAMPLES, each=True))
+    """The index of a bounded sample, calibrated to the share of toxic rows among all training rows."""
+    rows = sample_rows(docs, labels, "toxic", MODULUS, HELD_OUT, EXAMPLES, each=True)
+    known = training_labels(labels, "toxic", MODULUS, HELD_OUT)
+    share = known.agg(F.avg((F.col("y") == 1).cast("int"))).first()[0]
+    index = build(rows.column("text").to_pylist(), (rows.column("y").to_numpy() == 1).astype(int).tolist(), share)
+    index.ids = rows.column("doc_id").to_numpy()
+    return index
+
+
+EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+
+
+def _evidence(index: Index, near: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple]]:
+    return [
+        list(zip(index.ids[ids].tolist(), index.labels[ids].astype(int).tolist(), cosines.tolist(), strict=True))
+        for ids, cosines in near
+    ]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) per row of `docs`."""
+    """(doc_id, held_out, score, predicted, evidence) per row of `docs`.
+
+    `evidence` lists the nearest examples, the nearest first: doc_id, label, cosine.
+    """
     index = shared(docs.sparkSession, trained(docs, labels))
 
     def run(batches):
         known = index()
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            scores, evidence = [], []
+            scores, evidence = [np.zeros(0)], []
             for first, last in steps(offsets):
-                found = scored(known, data, offsets[first : last + 1])
-                scores.append(found[0])
-                evidence += found[1]
-            values = np.concatenate(scores) if scores else np.zeros(0)
+                found, near = scored(known, data, offsets[first : last + 1])
+                scores.append(found)
+                evidence += _evidence(known, near)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values), pa.array(evidence, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(np.concatenate(scores)), pa.array(evidence, EVIDENCE)],
                 names=["doc_id", "score", "evidence"],
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, score double, evidence array<long>").select(
+    kind = "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>"
+    return source.mapInArrow(run, kind).select(
         "doc_id",
         F.coalesce(fold(MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",

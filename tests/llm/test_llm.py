@@ -16,6 +16,7 @@ import pytest
 from duskline.llm import decontaminate, fingerprints, licenses, main_text, near_dedup, packing, quality
 from duskline.llm import suffix_dedup, toxicity, warc
 from duskline.llm.components import components
+from duskline.llm.labelled import sample_rows
 from duskline.llm.queries import QUERIES, tokenizer_files
 from registry.compare import differences
 
@@ -255,6 +256,15 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(p == y for p, y in held) >= least * len(held)
 
 
+def test_held_out_toxic_texts(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    found = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, sf_dir).collect()}
+    truth = duckdb.sql(f"select doc_id, toxic from '{sf_dir}/labels.parquet'").fetchall()
+    held = [(found[d].predicted, y) for d, y in truth if found[d].held_out]
+    toxic, clean = ([p for p, y in held if y == label] for label in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
 def test_block_max_is_exact():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("ab cd ef gh ij kl".split()) + str(rng.randrange(6)) for _ in range(20)) for _ in range(300)]
@@ -294,14 +304,14 @@ def test_neighbours_are_those_of_brute_force(monkeypatch):
             df[term] += 1
 
     def vector(bag):
-        weights = {t: (1 + np.log(c)) * (np.log(701 / (df.get(t, 0) + 1)) + 1) for t, c in bag.items()}
+        weights = {t: c * (np.log(701 / (df.get(t, 0) + 1)) + 1) for t, c in bag.items()}
         norm = sum(w * w for w in weights.values()) ** 0.5
         return {t: w / norm for t, w in weights.items()}
 
     examples = [vector(b) for b in bags]
     data, offsets = toxicity.column_bytes(pa.array(queries, pa.large_string()))
-    rows, terms, _ = toxicity.terms_of(data, offsets)
-    found = toxicity.nearest(index.cosine, *toxicity._counted(rows, terms), len(queries))
+    terms = toxicity.terms_of(data, offsets)
+    found = toxicity.nearest(index.cosine, *toxicity._counted(terms.rows, terms.hashes), len(queries))
     for query, (ids, cosines) in zip(queries, found, strict=True):
         own = vector(counted(query))
         full = np.array([sum(w * e.get(t, 0.0) for t, w in own.items()) for e in examples])
@@ -318,10 +328,69 @@ def test_a_copy_of_a_toxic_example_is_toxic():
     index = toxicity.build(texts, [0] * 300 + [1])
     data, offsets = toxicity.column_bytes(pa.array([texts[-1], texts[0]], pa.large_string()))
     scores, evidence = toxicity.scored(index, data, offsets)
-    assert evidence[0] == [300] and evidence[1][0] == 0
+    assert evidence[0][0].tolist() == [300] and evidence[1][0][0] == 0
     assert scores[0] > toxicity.THRESHOLD > scores[1]
 
 
+def _prose(rng, n):
+    return [rng.choice("abcdefgh") + rng.choice("lmnoprst") + str(rng.randrange(300)) for _ in range(n)]
+
+
+def _scores(index, texts):
+    data, offsets = toxicity.column_bytes(pa.array(texts, pa.large_string()))
+    return toxicity.scored(index, data, offsets)[0]
+
+
+def test_a_toxic_passage_in_a_long_text_is_found():
+    rng = random.Random(8)
+
+    def insulted(words, every):
+        return [w for k, word in enumerate(words) for w in ([word, "insult%d" % rng.randrange(4)] if k % every == 0 else [word])]
+
+    texts = [" ".join(insulted(_prose(rng, 80), 12) if k < 60 else _prose(rng, 80)) for k in range(400)]
+    index = toxicity.build(texts, [int(k < 60) for k in range(400)], 0.1)
+    clean = [_prose(rng, n) for n in (50, 200, 3000)]
+    passage = clean[2][:2500] + insulted(_prose(rng, 80), 8) + clean[2][2500:]
+    scores = _scores(index, [" ".join(t) for t in (*clean, passage)])
+    assert (scores[:3] < toxicity.THRESHOLD).all() and scores[3] > toxicity.THRESHOLD
+
+
+def test_words_of_a_copied_example_do_not_count_as_many():
+    rng = random.Random(9)
+    copied, shared_part = " ".join(_prose(rng, 100)), " ".join("own" + w for w in _prose(rng, 60))
+    texts = [" ".join(_prose(rng, 60)) + " insult" for _ in range(60)] + [copied] * 40
+    texts += [" ".join(_prose(rng, 40)) + " " + shared_part + " insult" for _ in range(30)]
+    texts += [" ".join(_prose(rng, 60)) for _ in range(400)]
+    index = toxicity.build(texts, [1] * 130 + [0] * 400, 0.1)
+    # Only the insult and its beginnings tell; the beginnings do not count beside the word itself.
+    assert len(index.terms) <= 4
+    parts = copied.split()
+    scores = _scores(index, [" ".join(_prose(rng, 50) + parts[:5]), " ".join(_prose(rng, 50)) + " insult"])
+    assert scores[0] < toxicity.THRESHOLD < scores[1]
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    rows = [(k % 50, "x" * (1 + k % 7) + str(k)) for k in range(400)] + [(None, "y"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(None, 1), (4, None)], "doc_id long, toxic int")
+    found = sample_rows(docs, labels, "toxic", 4, 2, 10, each=True)
+    ids = found.column("doc_id").to_pylist()
+    assert len(ids) == len(set(ids)) == 20 and sum(found.column("y").to_pylist()) == 10
+    few = sample_rows(docs, labels, "toxic", 4, 2, 10, each=True, most_bytes=15)
+    for y in (0, 1):
+        size = sum(len(t) for t, label in zip(few.column("text").to_pylist(), few.column("y").to_pylist()) if label == y)
+        assert 0 < size <= 15
+    assert set(few.column("doc_id").to_pylist()) <= set(ids)
+
+
+def test_evidence_names_the_examples(spark):
+    docs = spark.createDataFrame([(k, "one two three" if k % 2 else f"four five {k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    for row in toxicity.toxicity_scores(docs, labels).collect():
+        assert all(abs(e.cosine - 1) < 1e-9 and e.label == 1 for e in row.evidence) if row.doc_id % 2 else row.evidence[0].label == 0
+        assert all(e.doc_id % 2 == e.label for e in row.evidence)
+
+
 def test_main_text(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", main_text.LABELLED[0]), (4, "u", "<div><p>unclosed &amp; <b>bold")]
     found = {r.page_id: r for r in main_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
