@@ -30,6 +30,7 @@ doc_id are never inputs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -220,18 +221,17 @@ def _telling(rows: np.ndarray, terms: np.ndarray, shares: np.ndarray, y: np.ndar
     return values[good[np.lexsort((values[good], -chi[good]))]][:TERMS]
 
 
-def _vocabulary(texts: list[Terms], alone: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _vocabulary(texts: Callable[[], Iterator[tuple[int, Terms]]], alone: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The telling words, and the beginnings that are telling in other words than these."""
     found = np.zeros(0, np.uint64)
     for beginnings in (False, True):
-        parts, at = [], 0
-        for terms in texts:
+        parts = []
+        for at, terms in texts():
             words = int(terms.words.sum())
             own = np.arange(words, len(terms.rows)) if beginnings else np.arange(words)
             own = own[~np.isin(terms.hashes[terms.word[own]], found)] if beginnings else own
             shares = np.concatenate(alone[at : at + len(terms.words)])
             parts.append((terms.rows[own] + at, terms.hashes[own], shares[terms.word[own]]))
-            at += len(terms.words)
         columns = [np.concatenate([p[k] for p in parts]) for k in range(3)] if parts else [np.zeros(0)] * 3
         found = np.append(found, _telling(*columns, y, weight))
     return np.sort(found)
@@ -320,12 +320,12 @@ def cosine_index(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int
 
 
 def nearest(
-    cosine: Cosine, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, leave_out: bool = False
+    cosine: Cosine, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, skip: int | None = None
 ) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text the NEIGHBOURS examples of largest cosine above 0 over all terms, exactly.
 
-    The texts are given by their distinct (row, term), ordered, and counts. With `leave_out` they
-    are the examples themselves, and none is its own neighbour.
+    The texts are given by their distinct (row, term), ordered, and counts. With `skip` they
+    are the examples from that number on, and none is its own neighbour.
     """
     none = np.zeros(0, int), np.zeros(0)
     if not len(cosine.terms):
@@ -344,8 +344,8 @@ def nearest(
         vectors = np.zeros((last - first, len(cosine.matrix)))
         vectors[rows[often] - first, column[often]] = weights[often]
         sums = vectors @ cosine.matrix
-        if leave_out:
-            sums[np.arange(last - first), np.arange(first, last)] = -np.inf
+        if skip is not None:
+            sums[np.arange(last - first), np.arange(first, last) + skip] = -np.inf
         rare = np.flatnonzero(column[a:b] < 0) + a
         cuts = np.searchsorted(rows[rare], np.arange(first, last + 1))
         for k in range(last - first):
@@ -355,31 +355,26 @@ def nearest(
 
 
 def _best(cosine: Cosine, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best examples, from the common terms' sums and the postings of the others."""
+    """The best examples, from the common terms' sums and the postings of the others.
+
+    No cosine is below its common part, so blocks whose bound is below the K-th of these hold no neighbour.
+    """
+    last = cosine.n - min(NEIGHBOURS, cosine.n)
     counts = cosine.slots[terms + 1] - cosine.slots[terms]
     slots, weights = _ranges(cosine.slots[terms], counts), np.repeat(weights, counts)
     block = cosine.block[slots]
     bounds = np.maximum.reduceat(scores, np.arange(0, cosine.n, SPAN))
     bounds = bounds + np.bincount(block, weights * cosine.bound[slots], len(bounds))
-    number = np.arange(cosine.n) // SPAN
-    done = np.zeros(len(bounds), bool)
-    turn = np.zeros(len(bounds), bool)
-    # The best blocks first; their K-th cosine decides which others are looked at.
-    turn[np.argsort(-bounds, kind="stable")[: max(1, len(bounds) // 4)]] = True
-    while turn.any():
-        chosen = np.flatnonzero(turn[block])
-        sizes = cosine.start[slots[chosen] + 1] - cosine.start[slots[chosen]]
-        postings = _ranges(cosine.start[slots[chosen]], sizes)
-        gained = np.repeat(weights[chosen], sizes) * cosine.weights[postings]
-        scores = scores + np.bincount(cosine.examples[postings], gained, cosine.n)
-        done |= turn
-        found = np.where(done[number], scores, 0.0)
-        most = min(NEIGHBOURS, cosine.n)
-        least = np.partition(found, cosine.n - most)[cosine.n - most]
-        turn = ~done & (bounds > 0) & (bounds + 1e-9 >= least)
-    ids = np.flatnonzero((found >= least) & (found > 0))
-    ids = ids[np.lexsort((ids, -found[ids]))][:NEIGHBOURS]
-    return ids, found[ids]
+    open_ = bounds + 1e-9 >= np.partition(scores, last)[last]
+    if not open_.all():
+        chosen = open_[block]
+        slots, weights = slots[chosen], weights[chosen]
+    sizes = cosine.start[slots + 1] - cosine.start[slots]
+    postings = _ranges(cosine.start[slots], sizes)
+    scores = scores + np.bincount(cosine.examples[postings], np.repeat(weights, sizes) * cosine.weights[postings], cosine.n)
+    ids = np.flatnonzero((scores >= np.partition(scores, last)[last]) & (scores > 0))
+    ids = ids[np.lexsort((ids, -scores[ids]))][:NEIGHBOURS]
+    return ids, scores[ids]
 
 
 def _vote(index: Index, ids: np.ndarray, cosines: np.ndarray) -> float:
@@ -454,27 +449,28 @@ def build(texts: list[str], labels: list[int], positive_share: float | None = No
     y = np.array(labels, float)
     data, offsets = column_bytes(pa.array(texts, pa.large_string()))
     alone = shares_of(data, offsets)
-    texts = [terms_of(data, offsets[first : last + 1]) for first, last in steps(offsets)]
-    at = np.cumsum([0, *(len(t.words) for t in texts)])
+
+    def texts() -> Iterator[tuple[int, Terms]]:
+        """First example and terms of each step; made anew each time, since all together are large."""
+        for first, last in steps(offsets):
+            yield first, terms_of(data, offsets[first : last + 1])
+
     none = np.zeros(0, int)
-    parts = [_counted(t.rows + first, t.hashes) for t, first in zip(texts, at, strict=False)]
-    all_rows, all_terms, all_counts = (np.concatenate([p[k] for p in parts]) if parts else none for k in range(3))
-    words = np.concatenate([t.words for t in texts]) if texts else none
-    del parts
     n, ones = len(y), int(y.sum())
     share = ones / max(n, 1) if positive_share is None else positive_share
     # Copies count together as one example; the labels then weigh as much as among all rows.
     weight = np.array([a.mean() if len(a) else 1.0 for a in alone])
     toxic = weight @ y
     stands = weight * np.where(y == 1, share / max(toxic, 1e-9), (1 - share) / max(weight.sum() - toxic, 1e-9)) * weight.sum()
-    cosine = cosine_index(all_rows, all_terms, all_counts, n)
     vocabulary = _vocabulary(texts, alone, y, weight)
     del alone
-    found = [_chosen(vocabulary, t) for t in texts]
-    rows, numbers, counts = _counted(
-        np.concatenate([none, *(t.rows[own] + first for t, (own, _), first in zip(texts, found, at, strict=False))]),
-        np.concatenate([none, *(numbers for _, numbers in found)]),
-    )
+    parts, words = [], []
+    for first, terms in texts():
+        own, numbers = _chosen(vocabulary, terms)
+        parts.append((terms.rows[own] + first, numbers))
+        words.append(terms.words)
+    rows, numbers, counts = _counted(*(np.concatenate([none, *(p[k] for p in parts)]) for k in range(2)))
+    words = np.concatenate([none, *words])
     idf = np.log((n + 1) / (np.bincount(numbers, minlength=len(vocabulary)) + 1)) + 1 if len(vocabulary) else np.zeros(0)
     weights = _weights(rows, numbers, counts, idf, words)
     order = np.lexsort((rows, numbers))
@@ -487,14 +483,18 @@ def build(texts: list[str], labels: list[int], positive_share: float | None = No
     bare = np.ones(n, bool)
     bare[rows] = False
     without = (stands[bare & (y == 1)].sum() + 0.01) / (stands[bare].sum() + 1) if n else 0.0
+    parts = [_counted(terms.rows + first, terms.hashes) for first, terms in texts()]
+    bags = [np.concatenate([p[k] for p in parts]).astype(t) if parts else none for k, t in enumerate((np.int32, np.uint64, np.int32))]
+    del parts
+    cosine = cosine_index(*bags, n)
+    del bags
     index = Index(vocabulary, idf, examples, weights[order], start[edges], bound.reshape(len(vocabulary), blocks), y, weight, float(without), None, cosine, np.arange(n))
-    votes, passages = np.zeros(n), np.zeros(n)
-    for first, terms in zip(at, texts, strict=False):
+    votes, passages, odds = np.zeros(n), np.zeros(n), np.zeros(n)
+    for first, terms in texts():
         last = first + len(terms.words)
-        votes[first:last], passages[first:last] = _votes(index, terms, skip=int(first))
-    del texts
-    near = nearest(cosine, all_rows, all_terms, all_counts, n, leave_out=True)
-    odds = np.array([_odds(index, ids, cosines) for ids, cosines in near])
+        votes[first:last], passages[first:last] = _votes(index, terms, skip=first)
+        near = nearest(cosine, *_counted(terms.rows, terms.hashes), last - first, skip=first)
+        odds[first:last] = [_odds(index, ids, cosines) for ids, cosines in near]
     # The common terms' matrix is made anew where it is used.
     cosine.__dict__.pop("matrix", None)
     if n:
