@@ -71,9 +71,12 @@ def merge_ranks(vocabulary: str) -> dict[bytes, int] | None:
     return {bytes(letters[c] for c in token): model["vocab"][token] for token in parts}
 
 
-def encoder(vocabulary: str, pattern: str):
+def encoder(vocabulary: str, pattern: str, special: bool = False):
     """Text to ids; `vocabulary` is the tokenizer's JSON and `pattern` its way to split texts.
 
+    With `special`, as the tokenizer does by default, strings of special tokens inside texts are
+    these tokens; else they are plain text.
+
     Ids come from the vocabulary's merge ranks. Texts with a run of over `LONG_RUN` characters
     without a change between white space and others are split and looked up word by word, as are
     all texts where the vocabulary has no such ranks; the ids are the same.
@@ -95,7 +98,18 @@ def encoder(vocabulary: str, pattern: str):
             return np.array(ranked.encode_ordinary(text), np.uint32)
         return np.fromiter(chain.from_iterable(map(ids.__getitem__, words.findall(text))), np.uint32)
 
-    return encode
+    added = {t["content"]: t["id"] for t in json.loads(vocabulary).get("added_tokens") or []} if special else {}
+    if not added:
+        return encode
+    strings = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
+
+    def encode_special(text: str) -> np.ndarray:
+        parts = strings.split(text)
+        if len(parts) == 1:
+            return encode(text)
+        return np.concatenate([np.array([added[p]], np.uint32) if k % 2 else encode(p) for k, p in enumerate(parts)])
+
+    return encode_special
 
 
 def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
@@ -103,7 +117,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPAC
     tables = shared(docs.sparkSession, (vocabulary, pattern))
 
     def run(batches):
-        encode = encoder(*tables())
+        encode = encoder(*tables(), special=True)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
