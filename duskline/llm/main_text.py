@@ -53,6 +53,13 @@ LABELLED = [
     <section class="comments" data-keep="0"><p>{_MORE}</p><article><p>{_LONG} Good.</p></article></section></article><div class="newsletter">Get our letter every week by mail</div></body>""",
     f"""<body data-keep="0"><nav><a href="/1">Home</a></nav><div class="ad">{_LONG}</div><article data-keep="1"><h1>One heading alone</h1></article>
     <footer>&copy; w.example.org &middot; {_MORE}</footer></body>""",
+    # Pages that end in their article, with and without containers; a last block may be short.
+    f"""<p data-keep="1">{_LONG}</p>""",
+    f"""<body data-keep="0"><nav><a href="/1">Home</a></nav><article data-keep="1"><h1>Last words</h1><p>{_MORE}</p><p>{_SHORT}</p></article></body>""",
+    f"""<body data-keep="0"><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul><h1 data-keep="1">Water again</h1><p data-keep="1">{_MORE}</p></body>""",
+    f"""<main data-keep="1"><p>{_LONG}</p><p>The mark &copy; stands on each map of the firm, and its owners say so: {_MORE}</p></main>""",
+    f"""<div data-keep="1">{_MORE} {_LONG}</div><div data-keep="0">&copy; 2019 by the paper</div>""",
+    f"""<p data-keep="1">{_LONG}</p><p data-keep="1">{_SHORT}</p><p data-keep="1">{_MORE}</p><p data-keep="0"><a href="/9">Up</a></p>""",
 ]
 
 

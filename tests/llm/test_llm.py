@@ -154,7 +154,6 @@ def test_packing_round_trip(docs):
 
     vocabulary, pattern = tokenizer_files()
     tokenizer = Tokenizer.from_str(vocabulary)
-    tokenizer.encode_special_tokens = True
     expected, total = {}, 0
     for doc, text, *_ in ROWS:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
@@ -192,6 +191,18 @@ def test_ids_are_those_of_the_tokenizer():
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_are_special_tokens():
+    from tokenizers import Tokenizer
+
+    vocabulary, pattern = tokenizer_files()
+    tokenizer = Tokenizer.from_str(vocabulary)
+    encode = packing.encoder(vocabulary, pattern, special=True)
+    end = "<|endoftext|>"
+    for text in (end, "", "a", f"{end} a", f"a {end}", f"a{end}{end}  b\n{end}", "<|endoftext|", f"<|{end}|>", f"ä{end}🙂 x" * 30):
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode(end).tolist() == [50256]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pack_holds_every_piece(seed):
     rng = random.Random(seed)
@@ -398,6 +409,21 @@ def test_main_text(spark):
     assert found[3].text.startswith("River rises\n\nThe river") and "boots" not in found[3].text
 
 
+def test_pages_that_end_in_their_article():
+    tree = main_text.trained()
+    one, two = "The old mill stood by the river for many years.", "Nobody knows who built it, or when the wheel stopped."
+    for page in (
+        f"<p>{one}</p>",
+        f"<html><body><nav><a href='/'>Home</a></nav><article><h1>{two}</h1><p>{one}</p></article></body></html>",
+        f"<body><ul><li><a href='/a'>Start</a></li><li><a href='/b'>News</a></li></ul><h1>{two}</h1><p>{one}</p></body>",
+        f"<main><p>{two}</p><p>{one}</p></main>",
+    ):
+        text = main_text.extract(page, tree)
+        assert text.endswith(one) and text in (one, f"{two}\n\n{one}")
+    footer = f"<p><a href='/'>Home</a></p><p>{two} {two}</p><p>{one} {one}</p><p>&copy; 2021 by the mill</p>"
+    assert main_text.extract(footer, tree) == f"{two} {two}\n\n{one} {one}"
+
+
 def test_warc_on_odd_rows(spark, tmp_path):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>ä</p>"), (5, "v", "<p>ä</p>"), (7, "a b", "x" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
