@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Shuffled bytes of arrivals that one task sorts and writes, about.
+PART_BYTES = "16m"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
@@ -107,18 +110,27 @@ def overwrite_table_months(df: DataFrame, table: str, column: str = "yyyymm") ->
 def publish_arrivals(df: DataFrame, path: str, *, by_day: bool = False) -> None:
     """Write arrivals by month of their date, or by month and day; months found are replaced.
 
-    Rows are brought together by date in parts of like size, large days in several.
+    Rows are brought together by date, by quarters of a month unless by day, in parts of like
+    size, large ones in several; a task sorts about ``PART_BYTES`` of them, however many there are.
     """
     parts = ["yyyymm", "nav_date"] if by_day else ["yyyymm"]
-    dated = df.withColumn("yyyymm", F.date_format("nav_date", "yyyyMM"))
-    (
-        dated.hint("rebalance", *parts)
-        .sortWithinPartitions(*parts, "nav_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*parts)
-        .parquet(path)
-    )
+    quarter = F.floor((F.dayofmonth("nav_date") - 1) / 8)
+    dated = df.withColumns({"yyyymm": F.date_format("nav_date", "yyyyMM"), "_quarter": quarter})
+    size, conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes", df.sparkSession.conf
+    before = conf.get(size, None)
+    conf.set(size, PART_BYTES)
+    try:
+        (
+            dated.hint("rebalance", *(parts if by_day else [*parts, "_quarter"]))
+            .drop("_quarter")
+            .sortWithinPartitions(*parts, "nav_date")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*parts)
+            .parquet(path)
+        )
+    finally:
+        conf.unset(size) if before is None else conf.set(size, before)
 
 
 def publish_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -370,3 +370,19 @@ def test_forecast_job_keeps_numbers(spark, tmp_path):
     numbers = {r.client_name: r.client_identifier for r in made["clients"].collect()}
     assert numbers == {"C1": 7, "gone": 9, "C0": 10}
     assert {r.client_identifier for r in made["forecast"].select("client_identifier").distinct().collect()} == {7, 10}
+
+
+def test_a_month_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "PART_BYTES", "1m", raising=False)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size, None)
+    rows = spark.range(0, 100_000, 1, 1).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("client_name"),
+        F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 31).cast("int")).alias("nav_date"),
+        (F.col("id") % 3600).cast("int").alias("sec"),
+    )
+    sinks.publish_arrivals(rows, str(tmp_path))
+    assert len(list((tmp_path / "yyyymm=202401").glob("*.parquet"))) > 1
+    stored = tables.read_arrivals(spark, str(tmp_path), rows.schema).drop("yyyymm")
+    assert stored.exceptAll(rows).isEmpty() and rows.exceptAll(stored).isEmpty()
+    assert spark.conf.get(size, None) == before
