@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample
-from .tables import shared
+from .tables import give_back, shared
 from .textbytes import Words, column_bytes, letters_and_digits, steps, words_of
 
 MODULUS, HELD_OUT = 3, 1
@@ -214,7 +214,9 @@ def scorer(model: Model, text: int):
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*sample(docs, labels, "quality", MODULUS, HELD_OUT, SAMPLE))
+    model = fit(*sample(docs, labels, "quality", MODULUS, HELD_OUT, SAMPLE))
+    give_back()
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

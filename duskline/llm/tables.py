@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,14 @@ def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return value_of
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: after a fit the driver would hold on to most of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder spark.checkpoint.dir names, which all executors share.
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample_rows, training_labels
-from .tables import shared
+from .tables import give_back, shared
 from .textbytes import column_bytes, letters_and_digits, prefix_hashes, shingle_hashes, steps, words_of
 
 MODULUS, HELD_OUT = 4, 2
@@ -527,6 +527,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Index:
     share = known.agg(F.avg((F.col("y") == 1).cast("int"))).first()[0]
     index = build(rows.column("text").to_pylist(), (rows.column("y").to_numpy() == 1).astype(int).tolist(), share)
     index.ids = rows.column("doc_id").to_numpy()
+    del rows
+    give_back()
     return index
 
 

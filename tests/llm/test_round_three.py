@@ -16,7 +16,7 @@ import pytest
 from conftest import MIDDLE
 from pyspark.sql import functions as F
 
-from duskline.llm import alignment, hard_negatives, near_dedup, sharding, suffix_dedup
+from duskline.llm import alignment, hard_negatives, near_dedup, quality, sharding, suffix_dedup
 from duskline.llm.oracles import ORACLES
 from duskline.llm.queries import QUERIES, piece_model, tokenizer_files
 from registry.compare import differences
@@ -370,3 +370,21 @@ def test_settled_tables_are_cleared(spark, tmp_path):
     clear_settled(spark)
     assert kept.count() == 5
     assert not any(os.path.exists(path.removeprefix("file:").replace("///", "/")) for path in files)
+
+
+def test_driver_gives_back_what_a_fit_freed(monkeypatch):
+    def held():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * 4096 >> 20
+
+    def fit(*_):
+        blocks = [bytearray(50_000) for _ in range(6000)]
+        last.append(bytearray(50_000))
+        del blocks
+        return "model"
+
+    last = []
+    monkeypatch.setattr(quality, "fit", fit)
+    monkeypatch.setattr(quality, "sample", lambda *_: ([], []))
+    before = held()
+    assert quality.trained(None, None) == "model" and held() - before < 60
