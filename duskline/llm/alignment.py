@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from .tables import settled, shared
 # Pairs and their counts that are broadcast at once: 17 bytes each.
 BLOCK_PAIRS = 2_000_000
 # Windows that a task remembers, and the tokens of one that is worth it.
-CACHE, CACHED_TOKENS = 1 << 17, 64
+CACHE, CACHED_TOKENS = 1 << 18, 64
 # Bytes of text that are aligned at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 17
 
@@ -66,18 +65,13 @@ class Side:
 
     def __init__(self, encode: Callable[[str], np.ndarray], token: list[bytes]):
         self.encode = encode
+        self.token = np.array(token, object)
         self.size = np.array([len(t) for t in token], np.int64)
         self.spaced = np.array([t[:1] == b" " for t in token])
-        self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(token), np.uint8)
         self.shown = np.array([[f"{n}{mark}" for n in range(len(token))] for mark in ",|;"], object)
 
-    def spells(self, ids: np.ndarray, text: np.ndarray) -> bool:
-        size = self.size[ids]
-        if size.sum() != len(text):
-            return False
-        first = np.cumsum(size) - size
-        return bool((self.data[np.repeat(self.start[ids] - first, size) + np.arange(len(text))] == text).all())
+    def spells(self, ids: np.ndarray, text: bytes) -> bool:
+        return b"".join(self.token[ids].tolist()) == text
 
 
 def byte_level(vocabulary: str, pattern: str) -> Side:
@@ -102,11 +96,11 @@ def word_pieces(model: bytes) -> Side:
         return bytes([int(piece[3:5], 16)]) if made.is_byte(number) else piece.replace("▁", " ").encode()
 
     token = [spelled(number) for number in range(made.get_piece_size())]
-    return Side(lambda text: np.array(made.encode(text), np.int64), token)
+    return Side(lambda text: made.encode_as_numpy(text).astype(np.int64), token)
 
 
-# An aligned window: its groups as text, their number, and its links as a << 32 | b.
-Matched = tuple[str, int, tuple[int, ...]]
+# An aligned window: its groups as text, their number, and its links, a << 32 | b, as the bytes of an array.
+Matched = tuple[str, int, bytes]
 
 
 def _runs(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -137,7 +131,7 @@ class Aligner:
         """Ids on both sides, or None where they do not spell the text."""
         if not text:
             return None
-        spelled = np.frombuffer((" " + text).encode(), np.uint8)
+        spelled = (" " + text).encode()
         a, b = self.a.encode(text), self.b.encode(text)
         return (a, b) if self.a.spells(a, spelled) and self.b.spells(b, spelled) else None
 
@@ -162,7 +156,7 @@ class Aligner:
         steps = np.sort(np.concatenate([ends_a, ends_b]))
         steps = steps[np.append(True, steps[1:] != steps[:-1])]
         i, j = np.searchsorted(ends_a, steps), np.searchsorted(ends_b, steps)
-        links = (a[i] << 32 | b[j]).tolist()
+        links = (a[i] << 32 | b[j]).tobytes()
         # A group ends where both sides do.
         both = (ends_a[i] == steps) & (ends_b[j] == steps)
         last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -176,13 +170,13 @@ class Aligner:
         stop_a, stop_b = np.cumsum(size_a), np.cumsum(size_b)
         stops = zip(
             (stop_a + stop_b).tolist(),
-            (np.searchsorted(steps, ends_a[stop_a - 1]) + 1).tolist(),
+            (8 * np.searchsorted(steps, ends_a[stop_a - 1]) + 8).tolist(),
             np.diff(group_a[stop_a - 1], prepend=-1).tolist(),
             strict=True,
         )
         made, p, q = [], 0, 0
         for text_to, link_to, groups in stops:
-            made.append(("".join(text[p:text_to])[:-1], groups, tuple(links[q:link_to])))
+            made.append(("".join(text[p:text_to])[:-1], groups, links[q:link_to]))
             p, q = text_to, link_to
         return made
 
@@ -203,7 +197,7 @@ class Aligner:
                 a[_runs(i[at], i[at + 1])], b[_runs(j[at], j[at + 1])], sizes_a[at], sizes_b[at]
             )
             made = dict(zip(new, rows, strict=True))
-            found = [made[key] if row is None else row for key, row in zip(keys, found, strict=True)]
+            found = [row or made[key] for key, row in zip(keys, found, strict=True)]
             if len(self.windows) + len(made) > CACHE:
                 self.windows.clear()
             self.windows.update({k: v for k, v in made.items() if len(k) <= 4 * CACHED_TOKENS})
@@ -225,15 +219,15 @@ class Aligner:
         found = self.matched(a, b, i, j, many)
         shown = np.empty(len(alone), object)
         shown[one] = [self.pairs[link] for link in links.tolist()]
-        shown[many] = [m[0] for m in found]
         groups, n_links = np.ones(len(alone), np.int64), np.ones(len(alone), np.int64)
-        groups[many], n_links[many] = [m[1] for m in found], [len(m[2]) for m in found]
+        linked: tuple[bytes, ...] = ()
+        if found:
+            shown[many], groups[many], linked = zip(*found, strict=True)
+            n_links[many] = np.fromiter(map(len, linked), np.int64, len(linked)) // 8
         stop_links, stop_groups = np.append(0, np.cumsum(n_links)), np.append(0, np.cumsum(groups))
         held = np.empty(stop_links[-1], np.int64)
         held[stop_links[one]] = links
-        held[_runs(stop_links[many], stop_links[many + 1])] = np.fromiter(
-            chain.from_iterable([m[2] for m in found]), np.int64
-        )
+        held[_runs(stop_links[many], stop_links[many + 1])] = np.frombuffer(b"".join(linked), np.int64)
         # The windows of a document start at its first token.
         stops = np.searchsorted(i, first_a).tolist()
         for k, p, q, (x, y) in zip(ids, stops, stops[1:], ids.values(), strict=False):

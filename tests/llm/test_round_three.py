@@ -388,3 +388,10 @@ def test_driver_gives_back_what_a_fit_freed(monkeypatch):
     monkeypatch.setattr(quality, "sample", lambda *_: ([], []))
     before = held()
     assert quality.trained(None, None) == "model" and held() - before < 60
+
+
+def test_alignment_rejects_tokens_that_do_not_spell_the_text():
+    side = alignment.Side(None, [b" a", b"b", b"\xc3\xa9"])
+    assert side.spells(np.array([0, 2, 1]), " aéb".encode()) and side.spells(np.zeros(0, int), b"")
+    for text in (b" a\xc3\xa9", b" a\xc3\xa9bb", b" a\xc3\xa8b", b""):
+        assert not side.spells(np.array([0, 2, 1]), text)
