@@ -87,16 +87,28 @@ class Words:
         )
 
 
-_powers = np.zeros(0, np.uint64)
-_inverses = np.zeros(0, np.uint64)
+class _Powers:
+    """Powers of the base and their inverses, as many as were asked for so far.
+
+    Each process makes its own: functions of this package are pickled by value, and with the tables a
+    driver that has read texts would write megabytes for every stage and executor.
+    """
+
+    def __init__(self):
+        self.powers = self.inverses = np.zeros(0, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_TABLES = _Powers()
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        _powers = np.cumprod(np.full(n, _BASE, np.uint64)) * np.uint64(_INVERSE)
-        _inverses = np.cumprod(np.full(n, _INVERSE, np.uint64)) * np.uint64(_BASE)
-    return _powers, _inverses
+    if len(_TABLES.powers) < n:
+        _TABLES.powers = np.cumprod(np.full(n, _BASE, np.uint64)) * np.uint64(_INVERSE)
+        _TABLES.inverses = np.cumprod(np.full(n, _INVERSE, np.uint64)) * np.uint64(_BASE)
+    return _TABLES.powers, _TABLES.inverses
 
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))

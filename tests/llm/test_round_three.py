@@ -390,6 +390,21 @@ def test_driver_gives_back_what_a_fit_freed(monkeypatch):
     assert quality.trained(None, None) == "model" and held() - before < 60
 
 
+def test_functions_travel_without_the_tables_of_a_process():
+    from pyspark import cloudpickle
+
+    from duskline.llm import textbytes
+
+    def words():
+        data = np.frombuffer(b"some words " * 100_000, np.uint8)
+        return textbytes.words_of(data, np.array([0, len(data)]), textbytes.letters_and_digits()).hashes
+
+    here = words()
+    for function in (words, textbytes.prefix_hashes, suffix_dedup.repeats):
+        assert len(cloudpickle.dumps(function)) < 200_000
+    assert np.array_equal(cloudpickle.loads(cloudpickle.dumps(words))(), here)
+
+
 def test_alignment_rejects_tokens_that_do_not_spell_the_text():
     side = alignment.Side(None, [b" a", b"b", b"\xc3\xa9"])
     assert side.spells(np.array([0, 2, 1]), " aéb".encode()) and side.spells(np.zeros(0, int), b"")
