@@ -164,10 +164,10 @@ def shingle_hashes(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]
     return total, firsts
 
 
-def prefix_hashes(words: Words, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+def prefix_hashes(words: Words, sizes: tuple[int, ...], whole: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per size: the words longer than that many bytes, and hashes of their first bytes.
 
-    These differ from the hashes of whole words.
+    These differ from the hashes of whole words. With `whole` the words of just that many bytes.
     """
     n = len(words.data)
     powers, inverses = _power_tables(max(n, 1))
@@ -175,7 +175,7 @@ def prefix_hashes(words: Words, sizes: tuple[int, ...]) -> list[tuple[np.ndarray
     np.cumsum(_VALUES[words.data] * powers[:n], out=sums[1:])
     out, lengths = [], words.ends - words.starts
     for size in sizes:
-        own = np.flatnonzero(lengths > size)
+        own = np.flatnonzero(lengths == size if whole else lengths > size)
         starts = words.starts[own]
         part = (sums[starts + size] - sums[starts]) * inverses[starts]
         out.append((own, mix(part + np.uint64(size * 2 + 1))))

@@ -17,7 +17,8 @@ training rows:
 
 Copies of an example, and of a passage in many examples, count once: a word has 1 / (the number of
 examples with the same five words) as its share, in the chi-squared of terms and in votes. A chosen
-word's beginnings do not count beside it.
+word's beginnings count beside it only if nearly all examples that have them are toxic, so that unseen
+forms of toxic words, with other endings, are found.
 
 The fit sees at most EXAMPLES labelled rows of each label; scoring sees every text whole.
 
@@ -49,6 +50,8 @@ TERMS = 4096
 LEAST_EXAMPLES = 3
 # Chi-squared of a term; about one in a million unrelated terms reaches it.
 LEAST_CHI = 24
+# Share of toxic ones among the examples with a beginning, from which it counts beside the word.
+PURE = 0.95
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 15
 # Weight, in cosines, of the share of toxic ones among examples without a term.
@@ -119,31 +122,38 @@ class Index:
     cosine: Cosine
     # doc_id of each example.
     ids: np.ndarray
+    # Which terms are beginnings that count beside a chosen word.
+    pure: np.ndarray
 
 
 @dataclass
 class Terms:
     """Every word of some texts, then every word beginning: its text, hash, and which word it is or begins.
 
-    `words` are the numbers of words of the texts.
+    `words` are the numbers of words of the texts. From number `plain` on, words as long as the
+    shortest beginning stand for it, so that they meet longer words that begin with them.
     """
 
     rows: np.ndarray
     hashes: np.ndarray
     word: np.ndarray
     words: np.ndarray
+    plain: int
 
 
-def terms_of(data: np.ndarray, offsets: np.ndarray) -> Terms:
+def terms_of(data: np.ndarray, offsets: np.ndarray, whole: bool = False) -> Terms:
     words = words_of(data, offsets, letters_and_digits())
     sizes = np.diff(words.rows)
     rows = np.repeat(np.arange(len(sizes)), sizes)
     found = prefix_hashes(words, BEGINNINGS)
+    plain = len(rows) + sum(len(own) for own, _ in found)
+    found += prefix_hashes(words, BEGINNINGS[:1], whole=True) if whole else []
     return Terms(
         np.concatenate([rows, *(rows[own] for own, _ in found)]),
         np.concatenate([words.hashes, *(hashes for _, hashes in found)]),
         np.concatenate([np.arange(len(rows)), *(own for own, _ in found)]),
         sizes,
+        plain,
     )
 
 
@@ -155,6 +165,11 @@ def _counted(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[first], terms[first], np.diff(np.append(first, len(rows)))
 
 
+def _bag(terms: Terms, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, term) over all terms, ordered, with their counts; rows begin at `first`."""
+    return _counted(terms.rows[: terms.plain] + first, terms.hashes[: terms.plain])
+
+
 def _known(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which terms are in the vocabulary, and their numbers."""
     if not len(vocabulary):
@@ -199,7 +214,7 @@ def shares_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _telling(rows: np.ndarray, terms: np.ndarray, shares: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _telling(rows: np.ndarray, terms: np.ndarray, shares: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float = 0.5) -> np.ndarray:
     """Terms that occur more in toxic examples than their share, by chi-squared, the most telling first.
 
     A term counts in an example as its largest share there, and an example as its weight, so that
@@ -216,34 +231,38 @@ def _telling(rows: np.ndarray, terms: np.ndarray, shares: np.ndarray, y: np.ndar
     df, hits = np.bincount(inverse, shares), np.bincount(inverse, shares * y[rows])
     expected = df * ones / n
     chi = (hits - expected) ** 2 / np.maximum(expected, 1e-9) * n / max(n - ones, 1e-9)
-    # Twice the share of toxic examples, and more often toxic than not.
-    good = np.flatnonzero((hits >= LEAST_EXAMPLES - 1e-9) & (chi >= LEAST_CHI) & (hits * n > 2 * df * ones) & (2 * hits > df))
+    # Twice the share of toxic examples, and more often toxic than not, or than `least`.
+    good = np.flatnonzero((hits >= LEAST_EXAMPLES - 1e-9) & (chi >= LEAST_CHI) & (hits * n > 2 * df * ones) & (hits > least * df))
     return values[good[np.lexsort((values[good], -chi[good]))]][:TERMS]
 
 
-def _vocabulary(texts: Callable[[], Iterator[tuple[int, Terms]]], alone: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The telling words, and the beginnings that are telling in other words than these."""
-    found = np.zeros(0, np.uint64)
-    for beginnings in (False, True):
+def _vocabulary(texts: Callable[[], Iterator[tuple[int, Terms]]], alone: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The telling words, and the telling beginnings; which of these are beginnings of toxic examples only.
+
+    Other beginnings must be telling in other words than the telling ones.
+    """
+    kinds = []
+    for kind in ("words", "other words", "all"):
         parts = []
         for at, terms in texts():
             words = int(terms.words.sum())
-            own = np.arange(words, len(terms.rows)) if beginnings else np.arange(words)
-            own = own[~np.isin(terms.hashes[terms.word[own]], found)] if beginnings else own
+            own = np.arange(words) if kind == "words" else np.arange(words, len(terms.rows) if kind == "all" else terms.plain)
+            own = own[~np.isin(terms.hashes[terms.word[own]], kinds[0])] if kind == "other words" else own
             shares = np.concatenate(alone[at : at + len(terms.words)])
             parts.append((terms.rows[own] + at, terms.hashes[own], shares[terms.word[own]]))
         columns = [np.concatenate([p[k] for p in parts]) for k in range(3)] if parts else [np.zeros(0)] * 3
-        found = np.append(found, _telling(*columns, y, weight))
-    return np.sort(found)
+        kinds.append(_telling(*columns, y, weight, PURE if kind == "all" else 0.5))
+    found = np.unique(np.concatenate(kinds))
+    return found, np.isin(found, kinds[2])
 
 
-def _chosen(vocabulary: np.ndarray, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
-    """The occurrences of chosen terms, and the terms' numbers; a chosen word's beginnings do not count."""
+def _chosen(vocabulary: np.ndarray, pure: np.ndarray, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrences of chosen terms, and the terms' numbers; beside a chosen word only pure beginnings count."""
     own, numbers = _known(vocabulary, terms.hashes)
     words = int(terms.words.sum())
     known = np.zeros(words, bool)
     known[own[own < words]] = True
-    good = (own < words) | ~known[terms.word[own]]
+    good = (own < words) | pure[numbers] | ~known[terms.word[own]]
     return own[good], numbers[good]
 
 
@@ -390,7 +409,7 @@ def _votes(index: Index, terms: Terms, skip: int | None = None) -> tuple[np.ndar
     texts are the examples from that number on, and none votes for itself.
     """
     n = len(terms.words)
-    own, numbers = _chosen(index.terms, terms)
+    own, numbers = _chosen(index.terms, index.pure, terms)
     rows = terms.rows[own]
     places = terms.word[own] - (np.cumsum(terms.words) - terms.words)[rows]
     passages = np.maximum(-(-terms.words // PASSAGE) - 1, 1)
@@ -453,7 +472,7 @@ def build(texts: list[str], labels: list[int], positive_share: float | None = No
     def texts() -> Iterator[tuple[int, Terms]]:
         """First example and terms of each step; made anew each time, since all together are large."""
         for first, last in steps(offsets):
-            yield first, terms_of(data, offsets[first : last + 1])
+            yield first, terms_of(data, offsets[first : last + 1], whole=True)
 
     none = np.zeros(0, int)
     n, ones = len(y), int(y.sum())
@@ -462,11 +481,11 @@ def build(texts: list[str], labels: list[int], positive_share: float | None = No
     weight = np.array([a.mean() if len(a) else 1.0 for a in alone])
     toxic = weight @ y
     stands = weight * np.where(y == 1, share / max(toxic, 1e-9), (1 - share) / max(weight.sum() - toxic, 1e-9)) * weight.sum()
-    vocabulary = _vocabulary(texts, alone, y, weight)
+    vocabulary, pure = _vocabulary(texts, alone, y, weight)
     del alone
     parts, words = [], []
     for first, terms in texts():
-        own, numbers = _chosen(vocabulary, terms)
+        own, numbers = _chosen(vocabulary, pure, terms)
         parts.append((terms.rows[own] + first, numbers))
         words.append(terms.words)
     rows, numbers, counts = _counted(*(np.concatenate([none, *(p[k] for p in parts)]) for k in range(2)))
@@ -483,17 +502,17 @@ def build(texts: list[str], labels: list[int], positive_share: float | None = No
     bare = np.ones(n, bool)
     bare[rows] = False
     without = (stands[bare & (y == 1)].sum() + 0.01) / (stands[bare].sum() + 1) if n else 0.0
-    parts = [_counted(terms.rows + first, terms.hashes) for first, terms in texts()]
+    parts = [_bag(terms, first) for first, terms in texts()]
     bags = [np.concatenate([p[k] for p in parts]).astype(t) if parts else none for k, t in enumerate((np.int32, np.uint64, np.int32))]
     del parts
     cosine = cosine_index(*bags, n)
     del bags
-    index = Index(vocabulary, idf, examples, weights[order], start[edges], bound.reshape(len(vocabulary), blocks), y, weight, float(without), None, cosine, np.arange(n))
+    index = Index(vocabulary, idf, examples, weights[order], start[edges], bound.reshape(len(vocabulary), blocks), y, weight, float(without), None, cosine, np.arange(n), pure)
     votes, passages, odds = np.zeros(n), np.zeros(n), np.zeros(n)
     for first, terms in texts():
         last = first + len(terms.words)
         votes[first:last], passages[first:last] = _votes(index, terms, skip=first)
-        near = nearest(cosine, *_counted(terms.rows, terms.hashes), last - first, skip=first)
+        near = nearest(cosine, *_bag(terms), last - first, skip=first)
         odds[first:last] = [_odds(index, ids, cosines) for ids, cosines in near]
     # The common terms' matrix is made anew where it is used.
     cosine.__dict__.pop("matrix", None)
@@ -510,9 +529,9 @@ def scored(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     n = len(offsets) - 1
     if index.curves is None:
         return np.zeros(n), [(np.zeros(0, int), np.zeros(0))] * n
-    terms = terms_of(data, offsets)
+    terms = terms_of(data, offsets, whole=True)
     votes, passages = _votes(index, terms)
-    near = nearest(index.cosine, *_counted(terms.rows, terms.hashes), n)
+    near = nearest(index.cosine, *_bag(terms), n)
     odds = np.array([_odds(index, ids, cosines) for ids, cosines in near])
     copies = np.array([min(1.0, float((c * (index.labels[ids] == 1)).max(initial=0.0))) ** NEAR for ids, c in near])
     by_terms, by_passage, by_neighbours = index.curves

@@ -366,6 +366,16 @@ def test_a_toxic_passage_in_a_long_text_is_found():
     assert (scores[:3] < toxicity.THRESHOLD).all() and scores[3] > toxicity.THRESHOLD
 
 
+def test_unseen_forms_of_toxic_words_are_found():
+    rng = random.Random(10)
+    insults = ["gnarf", "bluster", "gnarfen", "vexolt", "vexoltus"]
+    texts = [" ".join(_prose(rng, 60) + rng.sample(insults, 3) if k < 80 else _prose(rng, 60)) for k in range(400)]
+    index = toxicity.build(texts, [int(k < 80) for k in range(400)], 0.1)
+    clean = [" ".join(_prose(rng, 60)) for _ in range(20)]
+    unseen = [" ".join(_prose(rng, 60) + [w, w]) for w in ("gnarfling", "blusterful", "vexolting", "gnarfs")]
+    assert (_scores(index, clean) < toxicity.THRESHOLD).all() and (_scores(index, unseen) > toxicity.THRESHOLD).all()
+
+
 def test_words_of_a_copied_example_do_not_count_as_many():
     rng = random.Random(9)
     copied, shared_part = " ".join(_prose(rng, 100)), " ".join("own" + w for w in _prose(rng, 60))
