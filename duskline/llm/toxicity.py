@@ -6,14 +6,17 @@ The examples' inverted index has blocks of example numbers with the largest weig
 block whose bound is below the K-th best cosine found so far is skipped, which loses no neighbour.
 The commonest terms are a matrix instead of postings. The neighbours are the evidence.
 
-Their vote alone classifies worse (README), so the score joins three parts as independent causes, each
-calibrated by a logistic curve on leave-one-out values, with labels weighing as much as among all
-training rows:
+Their vote alone classifies worse (README), so a logistic curve on leave-one-out values, with labels
+weighing as much as among all training rows, joins
 - the log odds of toxic among the neighbours, weighted by cosine;
 - a vote over the terms that tell toxic examples from others by chi-squared, weighted by cosine over
-  these terms, for the whole text and for its best passage of two times PASSAGE words, of which the
-  larger counts, so that a toxic passage in a long text is found;
-- the cosine to the nearest toxic neighbour, to the power NEAR: a copy of a toxic example is toxic.
+  these terms, for the whole text and for its best passage of two times PASSAGE words, so that a toxic
+  passage in a long text is found;
+- the log likelihood ratio over all terms, so that words too rare to be significant count together.
+The second has curves of its own too, of which the larger counts if above the joint one: a word or two
+in a long text are seen by nothing else. Beside them stands, as an independent cause, the cosine to the
+nearest toxic neighbour, to the power NEAR: a copy of a toxic example is toxic, unless examples like it
+have other labels.
 
 Copies of an example, and of a passage in many examples, count once: a word has 1 / (the number of
 examples with the same five words) as its share, in the chi-squared of terms and in votes. A chosen
@@ -22,7 +25,7 @@ forms of toxic words, with other endings, are found.
 
 The fit sees at most EXAMPLES labelled rows of each label; scoring sees every text whole.
 
-Defined cases: null and empty texts have no neighbours; they, and in the second part texts without a
+Defined cases: null and empty texts have no neighbours; in the second part they, and texts without a
 chosen term, get the smoothed share of toxic ones among such examples; terms of no example count in
 a text's length; without labelled rows every score is 0; equal cosines prefer the smaller example
 number; repeated rows are scored one by one; an empty table gives no rows; labels, lang, source and
@@ -68,12 +71,25 @@ THRESHOLD = 0.3
 NEAR = 256
 # What toxic neighbours count for besides those found, against 1 of the others.
 ODDS = 0.05
-# Slope and intercept of a curve before anything is seen, and how hard they hold.
-SLOPE, RIDGE = (4.0, -2.0), 0.05
+# How hard a slope, in standard deviations, and the intercept are held at 0.
+RIDGE, RIDGE_AT_0 = 0.2, 0.01
 # Over all terms: examples of a block, terms of the matrix, and texts whose products are held at once.
 SPAN = 1024
 COMMON = 2048
 TEXTS = 256
+# Upper ends of the classes of toxic and of other examples that have a term.
+CLASSES = np.array([0.5, 1.5, 2.5, 4.5, 8.5, 16.5, 32.5, 64.5, 128.5, 256.5])
+# Share of toxic terms in a toxic text.
+TOLD = 0.03
+# Pairs of a term and an example, spread by the counts alone, that a class is seen with before any other.
+SEEN = 10.0
+# Which of the log odds of the terms' vote and of the best passage's, the likelihood ratio, the neighbours'
+# log odds, and both votes as shares a curve is over.
+PARTS = ([0, 1, 2, 3], [4], [5])
+# Distinct terms of a text whose likelihood ratio counts as it is, and those added to every text's.
+LENGTH, SHORT = 400, 80
+# Postings looked at in one step.
+POSTINGS = 1 << 20
 
 
 @dataclass
@@ -116,14 +132,16 @@ class Index:
     # What an example counts for in a vote: the mean share of its words.
     weight: np.ndarray
     without: float
-    # Logistic curves of the terms' vote, of the best passage's and of the neighbours' log odds; None
-    # without examples.
-    curves: tuple[tuple[float, float], ...] | None
+    # A logistic curve over the values of each of PARTS; None without examples.
+    curves: list[np.ndarray] | None
     cosine: Cosine
     # doc_id of each example.
     ids: np.ndarray
     # Which terms are beginnings that count beside a chosen word.
     pure: np.ndarray
+    # What each term of `cosine` adds to the log likelihood ratio, and what one of no example adds.
+    tells: np.ndarray
+    untold: float
 
 
 @dataclass
@@ -338,18 +356,91 @@ def cosine_index(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int
     )
 
 
+def _class(toxic: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The class of terms that so many toxic and other examples have."""
+    return np.searchsorted(CLASSES, toxic) * (len(CLASSES) + 1) + np.searchsorted(CLASSES, others)
+
+
+def _told(cosine: Cosine, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """What each term adds to the log likelihood ratio, what an unknown one adds, and each example's sum.
+
+    A toxic text is taken as a mixture of any words and a share TOLD of toxic ones. How much oftener a term is
+    among the toxic ones is learnt for all terms together that as many toxic and other examples have, from
+    how many of the left-out examples with such a term are toxic; so terms of one or two examples tell
+    what such terms tell on average. An example's sum is made without itself.
+    """
+    first = cosine.start[cosine.slots].astype(np.int64)
+    terms = np.repeat(np.arange(len(cosine.terms), dtype=np.int32), np.diff(first))
+    n = (len(CLASSES) + 1) ** 2
+    toxic, others = np.zeros(len(cosine.terms)), np.zeros(len(cosine.terms))
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for a in range(0, len(terms), POSTINGS):
+            examples = cosine.examples[a : a + POSTINGS]
+            yield terms[a : a + POSTINGS], examples, weight[examples] * y[examples], weight[examples] * (1 - y[examples])
+
+    for term, _, one, other in parts():
+        toxic += np.bincount(term, one, len(toxic))
+        others += np.bincount(term, other, len(others))
+    ones, rest, with_toxic, with_others = (np.zeros(n) for _ in range(4))
+    classes = np.zeros(len(terms), np.int16)
+    for k, (term, _, one, other) in enumerate(parts()):
+        left, right = np.maximum(toxic[term] - one, 0), np.maximum(others[term] - other, 0)
+        kind = _class(left, right)
+        classes[k * POSTINGS : k * POSTINGS + len(kind)] = kind
+        ones += np.bincount(kind, one, n)
+        rest += np.bincount(kind, other, n)
+        with_toxic += np.bincount(kind, (one + other) * left, n)
+        with_others += np.bincount(kind, (one + other) * right, n)
+    # Classes without postings are taken by their upper ends.
+    ends = np.append(CLASSES, 2 * CLASSES[-1]) - 0.5
+    seen = np.maximum(ones + rest, 1e-9)
+    bare = ones + rest <= 0
+    with_toxic = np.where(bare, np.repeat(ends, len(ends)), with_toxic / seen)
+    with_others = np.where(bare, np.tile(ends, len(ends)), with_others / seen)
+    odds = (ones.sum() + 1) / (rest.sum() + 1)
+    expected = (with_toxic + odds) / (with_toxic + odds + with_others + 1)
+    ratio = (ones + SEEN * expected) / (rest + SEEN * (1 - expected)) / odds
+    adds = np.log1p(TOLD * (ratio - 1))
+    sums = np.zeros(cosine.n)
+    for k, (_, examples, _, _) in enumerate(parts()):
+        sums += np.bincount(examples, adds[classes[k * POSTINGS : k * POSTINGS + len(examples)]], cosine.n)
+    sizes = np.bincount(cosine.examples, minlength=cosine.n)
+    return adds[_class(toxic, others)], float(adds[0]), _by_length(sums, sizes)
+
+
+def _by_length(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums over terms as for LENGTH terms, by the root, as chance grows."""
+    return sums / np.sqrt((sizes + SHORT) / LENGTH)
+
+
+def _ratios(index: Index, rows: np.ndarray, known: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Log likelihood ratios of texts, from their distinct terms and which of these are known."""
+    own, numbers = known
+    sizes = np.bincount(rows, minlength=n)
+    sums = np.bincount(rows[own], index.tells[numbers] - index.untold, n) + index.untold * sizes
+    return _by_length(sums, sizes)
+
+
 def nearest(
-    cosine: Cosine, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, skip: int | None = None
+    cosine: Cosine,
+    rows: np.ndarray,
+    terms: np.ndarray,
+    counts: np.ndarray,
+    n: int,
+    skip: int | None = None,
+    known: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text the NEIGHBOURS examples of largest cosine above 0 over all terms, exactly.
 
     The texts are given by their distinct (row, term), ordered, and counts. With `skip` they
-    are the examples from that number on, and none is its own neighbour.
+    are the examples from that number on, and none is its own neighbour. `known` is what `_known`
+    returns for the terms, if at hand.
     """
     none = np.zeros(0, int), np.zeros(0)
     if not len(cosine.terms):
         return [none] * n
-    own, numbers = _known(cosine.terms, terms)
+    own, numbers = _known(cosine.terms, terms) if known is None else known
     idf = np.full(len(terms), np.log(cosine.n + 1) + 1)
     idf[own] = cosine.idf[numbers]
     weights = counts * idf
@@ -444,20 +535,49 @@ def _odds(index: Index, ids: np.ndarray, cosines: np.ndarray) -> float:
     return float(np.log((toxic + ODDS) / (weights.sum() - toxic + 1)))
 
 
-def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by damped Newton steps with a weak prior."""
-    beta = np.array(SLOPE)
-    for _ in range(60):
-        p = _logistic(beta, x)
-        v, r = w * p * (1 - p) + 1e-6, w * (p - y)
-        g = np.array([(r * x).sum(), r.sum()]) + RIDGE * (beta - SLOPE)
-        h = np.array([[(v * x * x).sum(), (v * x).sum()], [(v * x).sum(), v.sum()]]) + RIDGE * np.eye(2)
-        beta = beta - np.clip(np.linalg.solve(h, g), -1, 1)
-    return float(max(beta[0], 0.0)), float(beta[1])
+def _copied(labels: np.ndarray, cosines: np.ndarray) -> float:
+    """How much of a copy of a toxic example a text is; copies with other labels take their share."""
+    alike = np.minimum(cosines, 1.0) ** NEAR
+    toxic = alike * (labels == 1)
+    return float(toxic.max(initial=0.0) * toxic.sum() / max(alike.sum(), 1e-300))
+
+
+def _values(votes: np.ndarray, passages: np.ndarray, ratios: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """What curves are over, side by side."""
+    shares = np.column_stack([votes, passages])
+    kept = np.clip(shares, 1e-6, 1 - 1e-6)
+    return np.column_stack([np.log(kept / (1 - kept)), ratios, odds, shares])
+
+
+def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slopes and intercept of a logistic curve, by damped Newton steps with a weak prior.
+
+    No part speaks against itself: one whose slope falls below 0 is left out.
+    """
+    kept = np.arange(x.shape[1])
+    total = w.sum() + 1e-12
+    while True:
+        mean = w @ x[:, kept] / total
+        spread = np.sqrt(w @ (x[:, kept] - mean) ** 2 / total) + 1e-3
+        z = np.column_stack([(x[:, kept] - mean) / spread, np.ones(len(y))])
+        hold = np.diag(np.append(np.full(len(kept), RIDGE), RIDGE_AT_0))
+        beta = np.zeros(len(kept) + 1)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+            g = z.T @ (w * (p - y)) + hold @ beta
+            h = (z * (w * p * (1 - p) + 1e-6)[:, None]).T @ z + hold
+            beta = beta - np.clip(np.linalg.solve(h, g), -1, 1)
+        if (beta[:-1] >= 0).all():
+            break
+        kept = kept[beta[:-1] >= 0]
+    out = np.zeros(x.shape[1] + 1)
+    out[kept] = beta[:-1] / spread
+    out[-1] = beta[-1] - out[kept] @ mean
+    return out
 
 
-def _logistic(curve: tuple[float, float], x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(curve[0] * x + curve[1], -30, 30)))
+def _logistic(curve: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
 
 
 def build(texts: list[str], labels: list[int], positive_share: float | None = None) -> Index:
@@ -507,7 +627,8 @@ def build(texts: list[str], labels: list[int], positive_share: float | None = No
     del parts
     cosine = cosine_index(*bags, n)
     del bags
-    index = Index(vocabulary, idf, examples, weights[order], start[edges], bound.reshape(len(vocabulary), blocks), y, weight, float(without), None, cosine, np.arange(n), pure)
+    tells, untold, ratios = _told(cosine, y, weight)
+    index = Index(vocabulary, idf, examples, weights[order], start[edges], bound.reshape(len(vocabulary), blocks), y, weight, float(without), None, cosine, np.arange(n), pure, tells, untold)
     votes, passages, odds = np.zeros(n), np.zeros(n), np.zeros(n)
     for first, terms in texts():
         last = first + len(terms.words)
@@ -517,10 +638,8 @@ def build(texts: list[str], labels: list[int], positive_share: float | None = No
     # The common terms' matrix is made anew where it is used.
     cosine.__dict__.pop("matrix", None)
     if n:
-        by_terms, by_passage = _curve(votes, y, stands), _curve(passages, y, stands)
-        # Toxic examples that their terms explain tell little about the neighbours.
-        left = np.where(y == 1, 1 - _logistic(by_terms, votes), 1.0)
-        index.curves = by_terms, by_passage, _curve(odds, y, stands * left)
+        values = _values(votes, passages, ratios, odds)
+        index.curves = [_curve(values[:, part], y, stands) for part in PARTS]
     return index
 
 
@@ -531,12 +650,15 @@ def scored(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
         return np.zeros(n), [(np.zeros(0, int), np.zeros(0))] * n
     terms = terms_of(data, offsets, whole=True)
     votes, passages = _votes(index, terms)
-    near = nearest(index.cosine, *_bag(terms), n)
+    bag = _bag(terms)
+    known = _known(index.cosine.terms, bag[1])
+    near = nearest(index.cosine, *bag, n, known=known)
+    ratios = _ratios(index, bag[0], known, n)
     odds = np.array([_odds(index, ids, cosines) for ids, cosines in near])
-    copies = np.array([min(1.0, float((c * (index.labels[ids] == 1)).max(initial=0.0))) ** NEAR for ids, c in near])
-    by_terms, by_passage, by_neighbours = index.curves
-    told = np.maximum(_logistic(by_terms, votes), _logistic(by_passage, passages))
-    return 1 - (1 - told) * (1 - _logistic(by_neighbours, odds)) * (1 - copies), near
+    copies = np.array([_copied(index.labels[ids], cosines) for ids, cosines in near])
+    values = _values(votes, passages, ratios, odds)
+    told = np.max([_logistic(curve, values[:, part]) for curve, part in zip(index.curves, PARTS, strict=True)], axis=0)
+    return 1 - (1 - told) * (1 - copies), near
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Index:

@@ -376,6 +376,27 @@ def test_unseen_forms_of_toxic_words_are_found():
     assert (_scores(index, clean) < toxicity.THRESHOLD).all() and (_scores(index, unseen) > toxicity.THRESHOLD).all()
 
 
+def test_words_too_rare_to_be_significant_count_together():
+    rng = random.Random(12)
+    # About three examples have each of them.
+    insults = ["%s%03d" % (rng.choice("uvwxyz"), rng.randrange(1000)) for _ in range(100)]
+    texts = [" ".join(_prose(rng, 60) + (rng.sample(insults, 4) if k < 80 else [])) for k in range(400)]
+    index = toxicity.build(texts, [int(k < 80) for k in range(400)], 0.1)
+    clean = _scores(index, [" ".join(_prose(rng, 60)) for _ in range(100)])
+    toxic = _scores(index, [" ".join(_prose(rng, 60) + rng.sample(insults, 4)) for _ in range(50)])
+    assert (clean >= toxicity.THRESHOLD).mean() <= 0.05 and (toxic >= toxicity.THRESHOLD).mean() >= 0.8
+
+
+def test_a_copy_labelled_otherwise_than_most_is_not_enough():
+    rng = random.Random(13)
+    copied, single = (" ".join(_prose(rng, 60)) for _ in range(2))
+    texts = [" ".join(_prose(rng, 60)) for _ in range(200)] + [copied] * 6 + [single]
+    texts += [" ".join(_prose(rng, 60)) + " insult" for _ in range(30)]
+    index = toxicity.build(texts, [0] * 205 + [1] * 32, 0.1)
+    scores = _scores(index, [copied, single])
+    assert scores[0] < toxicity.THRESHOLD < scores[1]
+
+
 def test_words_of_a_copied_example_do_not_count_as_many():
     rng = random.Random(9)
     copied, shared_part = " ".join(_prose(rng, 100)), " ".join("own" + w for w in _prose(rng, 60))
